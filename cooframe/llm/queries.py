@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, near_dedup
+from . import bpe, fingerprints, near_dedup, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +24,24 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.stored(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_store.digests(spark, store)
+
+
+def _token_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), _token_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
