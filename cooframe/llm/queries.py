@@ -10,13 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, near_dedup, quality, token_store, topk
+from . import bpe, fingerprints, langid, licenses, mixing, near_dedup, pii, quality, token_store, topk
+
+
+#: Key of the pseudonyms of these queries; a deployment passes its own.
+KEY = "queries"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), KEY)
+    return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.array_join(F.array_sort(F.array_distinct("pii.kind")), ",").alias("kinds"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
@@ -60,6 +69,15 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), _token_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), seed="mix").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"), F.to_json("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -69,6 +87,25 @@ def oracle_sql() -> dict[str, str]:
 
 
 SQL = {
+    "op9_pareto_mix": """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    (('0x' || substr(md5('mix:' || doc_id), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM d GROUP BY source
+), r AS (SELECT *, source_size::DOUBLE * 2 AS stop, source_size::DOUBLE * 2 / w AS ratio FROM s
+), l AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(stop) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
+), t AS (
+  SELECT source, source_size, least(stop, coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level LIMIT 1) * w, stop)) AS target FROM l
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0) ELSE 0.0 END AS copies FROM t
+), p AS (
+  SELECT d.*, e.source_size, e.target, floor(copies)::BIGINT AS whole, copies - floor(copies) AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id) - size / 2 AS middle FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN rest > 0 AND middle <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM p""",
     "op4_dual_tree_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings

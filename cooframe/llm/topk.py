@@ -32,7 +32,7 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[Node, np.ndarray]:
 
     A node of level i covers its rows within 2^i of its centre. Its children's
     centres are chosen farthest first until they cover its rows within
-    2^(i-1), or FAN of them stand; every row goes to its nearest centre. Rows
+    2^(i-1), or there is one for every ``leaf`` rows, FAN at most; every row goes to its nearest centre. Rows
     that hardly split are cut into leaves as they lie.
     """
     order = np.arange(len(points))
@@ -44,8 +44,8 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[Node, np.ndarray]:
         if hi - lo <= leaf or node.radius == 0:
             return node
         cover = 2.0 ** (np.ceil(np.log2(node.radius)) - 1)
-        near, owner, centres = away, np.zeros(hi - lo, np.int64), [centre]
-        while near.max() > cover and len(centres) < FAN:
+        near, owner, centres, most = away, np.zeros(hi - lo, np.int64), [centre], max(2, min(FAN, (hi - lo) // leaf))
+        while near.max() > cover and len(centres) < most:
             centres.append(rows[int(near.argmax())])
             d = np.linalg.norm(rows - centres[-1], axis=1)
             closer = d < near
