@@ -37,9 +37,9 @@ def read(text: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(text), "<u8").astype(np.uint64)
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of two documents together."""
-    return np.union1d(a, b)
+    return sketch(np.union1d(a, b), scale)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
