@@ -16,10 +16,16 @@ from ._text import in_groups
 
 #: Pieces without a space from this length on are encoded by tree concatenation.
 LONG, LEAF = 4096, 1024
-#: Memo of pieces: entries in each of its two generations, and the longest piece it keeps.
-MEMO, MEMO_CHARS = 250_000, 40
+#: Memo: words in each of its two generations, pieces made of them, and the longest piece it keeps.
+MEMO, MEMO_CHARS = 150_000, 40
 _CHARS = 1 << 20
+#: One in so many texts that tiktoken encodes is held against the tokenizers library.
+CHECKED = 512
+#: The split that a byte-level pre-tokenizer makes before merges.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _DOUBLE_GAP = re.compile(r"\s\s")
+#: A word of Latin letters and the marks right after it, which every tokenizer here takes apart.
+_WORD_MARKS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def load(path: str):
@@ -77,13 +83,30 @@ class Tree:
             width *= 2
 
 
+def _ranked(spec: dict):
+    """The merges of a byte-level file as ranks for tiktoken, several times as fast; None where the file is not of that kind."""
+    import tiktoken
+
+    model, pre = spec["model"], spec["pre_tokenizer"]
+    words = sorted(model["vocab"], key=model["vocab"].get)
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if spec["normalizer"] or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("dropout") or model.get("ignore_merges") or words[256:] != merges or list(model["vocab"][w] for w in words) != list(range(len(words))):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    ranks = {bytes(byte[c] for c in w): i for i, w in enumerate(words)}
+    return tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Ids of whole texts, exactly as the tokenizers library gives them.
 
     Texts are cut at spaces where no rule of the tokenizer looks across, and
-    the ids of each distinct piece are computed once and kept in a bounded
-    memo. ``spaced``: a space belongs to the word after it (byte-level BPE);
-    otherwise white space is dropped.
+    pieces further into a word and the marks after it, and at line ends. The
+    ids of each distinct part are computed once and kept in a bounded memo.
+    ``spaced``: a space belongs to the word after it (byte-level BPE);
+    otherwise white space is dropped. For byte-level files texts of Latin-1
+    characters take the same merges from tiktoken instead.
     """
 
     def __init__(self, path: str) -> None:
@@ -93,8 +116,11 @@ class Encoder:
         self.spaced = spec["pre_tokenizer"]["type"] == "ByteLevel"
         self.marks = tuple(t["content"] for t in spec["added_tokens"])
         self.path, self.tree = path, None
-        self.new: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {"\n": self._whole("\n")}
+        self.fast, self.turn = _ranked(spec) if self.spaced else None, 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -123,45 +149,125 @@ class Encoder:
             return out
         return pieces
 
+    def _parts(self, piece: str) -> list[str] | None:
+        """First part of a piece, after whose space it stands, and the parts that follow without one; None where it is one part."""
+        out: list[str] = []
+        for k, line in enumerate(piece.split("\n")):
+            if k:
+                out.append("\n")
+            m = _WORD_MARKS.fullmatch(line)
+            if m is None:
+                return None
+            out.append(m[1])
+            if m[2]:
+                out.append(m[2])
+        return out if len(out) > 1 else None
+
+    def _known(self, part: str) -> bytes | None:
+        """A word's ids from the memo; a word of the older generation moves to the newer."""
+        found = self.new.get(part)
+        if found is None and (found := self.old.get(part)) is not None:
+            self.new[part] = found
+        return found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        if self.fast is None:
+            return self._by_pieces(texts)
+        out = [self._by_ranks(t) for t in texts]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self._by_pieces([texts[k] for k in rest]) if rest else []):
+            out[k] = ids
+        return out
+
+    def _by_ranks(self, text: str | None) -> bytes | None:
+        """Ids of a text of Latin-1 characters without special tokens; None for any other text."""
+        if not text:
+            return b""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if any(m in text for m in self.marks):
+            return None
+        ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        self.turn += 1
+        if self.turn % CHECKED == 1 and ids != self._whole(text):
+            raise RuntimeError("ids by ranks differ from the tokenizers library's")
+        return ids
+
+    def _by_pieces(self, texts: list[str | None]) -> list[bytes]:
         cut = [self._pieces(t) if t else [""] for t in texts]
         first = [p.pop(0) for p in cut] if self.spaced else [""] * len(cut)
-        need = set().union(*cut).difference(self.new)
+        if len(self.new) > MEMO:
+            self.old, self.new = self.new, {}
+        if len(self.pieces) > MEMO:
+            self.pieces = {"": b""}
+        if len(self.plain) > MEMO:
+            self.plain = {"\n": self.plain["\n"]}
+        pieces, plain = self.pieces, self.plain
         once: dict[str, bytes] = {}
-        todo = []
-        for p in need:
-            known = self.old.get(p)
-            if known is not None:
-                self.new[p] = known
-            elif len(p) >= LONG:
+        made: list[tuple[str, list[str]]] = []
+        heads, tails = set(), set()
+        known = self._known
+        for p in set().union(*cut).difference(pieces):
+            if len(p) >= LONG:
                 once[p] = self._long(" " + p if self.spaced else p)
+            elif len(p) > MEMO_CHARS:
+                heads.add(p)
+            elif (found := known(p)) is not None:
+                pieces[p] = found
+            elif parts := self._parts(p):
+                made.append((p, parts))
+                if known(parts[0]) is None:
+                    heads.add(parts[0])
+                tails.update(parts[1:])
             else:
-                todo.append(p)
-        found = self.tokenizer.encode_batch_fast([" " + p for p in todo] if self.spaced else todo, add_special_tokens=False)
-        for p, e in zip(todo, found):
-            (self.new if len(p) <= MEMO_CHARS else once)[p] = np.array(e.ids, "<u4").tobytes()
-        heads = [self._long(p) if len(p) >= LONG else self._whole(p) if p else b"" for p in first]
-        if once:
-            both = {**once}
-            out = [h + b"".join([both[p] if p in both else self.new[p] for p in c]) for h, c in zip(heads, cut)]
+                heads.add(p)
+        if self.spaced:
+            bare = list(tails.difference(plain))
         else:
-            get = self.new.__getitem__
-            out = [h + b"".join(map(get, c)) for h, c in zip(heads, cut)]
-        if len(self.new) > MEMO:
-            self.old, self.new = self.new, {"": b""}
-        return out
+            bare = []
+            heads.update(x for x in tails if known(x) is None)
+        ask = list(heads)
+        found = self.tokenizer.encode_batch_fast(([" " + p for p in ask] if self.spaced else ask) + bare, add_special_tokens=False)
+        ids = [np.array(e.ids, "<u4").tobytes() for e in found]
+        for p, x in zip(ask, ids):
+            if len(p) <= MEMO_CHARS:
+                self.new[p] = pieces[p] = x
+            else:
+                once[p] = x
+        plain.update(zip(bare, ids[len(ask) :]))
+        new = self.new
+        later = plain if self.spaced else new
+        for p, parts in made:
+            pieces[p] = new[parts[0]] + b"".join([later[x] for x in parts[1:]])
+        starts = [self._long(p) if len(p) >= LONG else self._whole(p) if p else b"" for p in first]
+        if once:
+            return [h + b"".join([once[p] if p in once else pieces[p] for p in c]) for h, c in zip(starts, cut)]
+        get = pieces.__getitem__
+        return [h + b"".join(map(get, c)) for h, c in zip(starts, cut)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a file; its memo lasts from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def encoded(path: str):
     """For mapInArrow over (doc_id, text): batches of (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own = encoder(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for s, e in in_groups([len(t or "") for t in texts], _CHARS):
-                ids = [np.frombuffer(b, "<u4") for b in encoder.encode(texts[s:e])]
+                ids = [np.frombuffer(b, "<u4") for b in own.encode(texts[s:e])]
                 ends = np.cumsum([0, *map(len, ids)])
                 values = pa.array(np.concatenate(ids).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values).cast(pa.list_(pa.int32()))], ["doc_id", "ids"])

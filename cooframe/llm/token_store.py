@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._text import in_groups
-from .bpe import Encoder
+from .bpe import encoder
 from .shared import new_path, spread, written
 
 #: A cut follows an id where the rolling hash of the last 16 ids has its low bits clear.
-LOW_BITS, LEAST, MOST = 8, 64, 4096
+LOW_BITS, LEAST, MOST = 9, 128, 8192
 _GEAR = np.random.default_rng(606).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 _CHARS = 1 << 20
 _SEEN = 100_000
@@ -69,13 +69,13 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 def _cutter(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press, seen = Encoder(path), zstandard.ZstdCompressor(level=1), set()
+        own, press, seen = encoder(path), zstandard.ZstdCompressor(level=1), set()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for s, e in in_groups([len(t or "") for t in texts], _CHARS):
                 rows = []
-                for doc_id, raw in zip(doc_ids[s:e], encoder.encode(texts[s:e])):
+                for doc_id, raw in zip(doc_ids[s:e], own.encode(texts[s:e])):
                     ids = np.frombuffer(raw + end, "<u4")
                     hashes, lengths, at = [], [], 0
                     for stop in cuts(ids):
