@@ -266,7 +266,39 @@ def lsmr(A: Apply, At: Apply, b, n: int, atol=1e-8, btol=1e-8, maxiter=10_000, d
     return x, maxiter, rnorm, False
 
 
-METHODS = {"cg": cg, "pipelined_cg": pipelined_cg, "bicgstab": bicgstab, "gmres": gmres, "fgmres": fgmres, "minres": minres}
+def mixed_cg(A: Apply, b, M: Apply | None = None, x0=None, atol=1e-10, rtol=1e-6, maxiter=10_000):
+    """CG on single-precision vectors, refined by residuals in double precision."""
+    x, r = _start(A, b, x0)
+    goal = float(_goal(b, atol, rtol))
+    it, size = 0, float(np.linalg.norm(r))
+    single = lambda f: (lambda v: f(v.astype(np.float64)).astype(np.float32)) if f else None
+    while size > goal and it < maxiter:
+        d, steps, _, _ = cg(single(A), (r / size).astype(np.float32), single(M), None, 0.0, max(1e-4, 0.5 * goal / size), maxiter - it)
+        new = x + size * d.astype(np.float64)
+        r = b - A(new)
+        it += max(1, steps)
+        if np.linalg.norm(r) >= size:
+            break
+        x, size = new, float(np.linalg.norm(r))
+    return x, it, size, size <= goal
+
+
+def subspace_svd(A: Apply, At: Apply, n: int, k: int, maxiter: int = 200, tol: float = 1e-10, seed: int = 0):
+    """(u, s, v) for the k largest singular values, by power iteration on a block with products only."""
+    v = orthonormal(np.random.default_rng(seed).standard_normal((n, min(n, 2 * k + 2))))
+    before = None
+    for _ in range(maxiter):
+        u, _ = np.linalg.qr(A(v))
+        v, r = np.linalg.qr(At(u))
+        s = np.linalg.svd(r, compute_uv=False)[:k]
+        if before is not None and np.all(np.abs(s - before) <= tol * s.max(initial=1e-300)):
+            break
+        before = s
+    p, s, qt = np.linalg.svd(A(v), full_matrices=False)
+    return p[:, :k], s[:k], (v @ qt.T)[:, :k]
+
+
+METHODS = {"cg": cg, "mixed_cg": mixed_cg, "pipelined_cg": pipelined_cg, "bicgstab": bicgstab, "gmres": gmres, "fgmres": fgmres, "minres": minres}
 LEAST_SQUARES = {"lsqr": lsqr, "lsmr": lsmr}
 
 

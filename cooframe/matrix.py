@@ -87,6 +87,27 @@ class Matrix:
         out = df.select(F.col(row).cast("long").alias("row"), F.posexplode(values).alias("col", "val"))
         return cls(out.select("row", F.col("col").cast("long").alias("col"), F.col("val").cast("double").alias("val")).where("val <> 0"), m, n, coalesced=True)
 
+    @classmethod
+    def from_csr(cls, df: DataFrame, m: int, n: int) -> Matrix:
+        """From ``row, cols, vals``, as ``to_csr`` gives them."""
+        pairs = df.select(F.col("row").cast("long").alias("row"), F.explode(F.arrays_zip("cols", "vals")).alias("e"))
+        return cls(pairs.select("row", F.col("e.cols").cast("long").alias("col"), F.col("e.vals").alias("val")), m, n)
+
+    @classmethod
+    def coerce(cls, spark: SparkSession, x, shape: Sequence[int] | None = None) -> Matrix:
+        """A matrix from a matrix, (values, rows, columns, shape), a dense array, entries with a shape, or a function probed column by column."""
+        if isinstance(x, Matrix):
+            return x
+        if isinstance(x, DataFrame):
+            return cls(x, *shape)
+        if isinstance(x, tuple) and len(x) == 4:
+            return cls.from_arrays(spark, *x)
+        if callable(x):
+            import numpy as np
+
+            return cls.from_dense(spark, np.stack([np.asarray(x(e)) for e in np.eye(shape[1])], axis=1))
+        return cls.from_dense(spark, x)
+
     @classmethod
     def list_of(cls, matrices: Sequence[Matrix]) -> Matrix:
         """A list of single matrices, numbered from 0."""

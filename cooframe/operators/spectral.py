@@ -90,6 +90,12 @@ def svd(a: Matrix, k: int = 6) -> DataFrame:
     return gathered(a, run, "k long, s double, u array<double>, v array<double>")
 
 
+def svd_distributed(a: Matrix, k: int = 6, maxiter: int = 200, tol: float = 1e-10, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, s, v) for the k largest singular values, with products over the cluster."""
+    op = Operator(a)
+    return K.subspace_svd(op, op.transposed, a.n, k, maxiter, tol, seed)
+
+
 def singular_values(a: Matrix) -> DataFrame:
     def run(e):
         s = np.linalg.svd(e.dense(), compute_uv=False)
@@ -200,4 +206,4 @@ def ratio_of_extremes(a: Matrix) -> DataFrame:
     return singular_values(a).groupBy(*a.keys).agg(ieee.div(F.max("s"), F.min("s")).alias("v"))
 
 
-bind(eigsh, eigs, lobpcg, svd, singular_values, condition_number, estimated_condition, slogdet, det, logdet, eigsh_distributed, logdet_distributed)
+bind(eigsh, eigs, lobpcg, svd, svd_distributed, singular_values, condition_number, estimated_condition, slogdet, det, logdet, eigsh_distributed, logdet_distributed)

@@ -15,7 +15,7 @@ from ..matrix import Matrix
 from ..operators.direct import GATHER_ENTRIES, solve_info
 from ..operators.krylov import residual_norm, solve_distributed
 
-TIERS = {"gather": ("lu", "cholesky", "ldlt", "cg", "pipelined_cg", "bicgstab", "gmres", "fgmres", "minres", "lsqr", "lsmr", "amg"), "distributed": ("cg", "pipelined_cg", "bicgstab", "gmres", "fgmres", "minres", "lsqr", "lsmr"), "frames": ("cg",)}
+TIERS = {"gather": ("lu", "cholesky", "ldlt", "cg", "mixed_cg", "pipelined_cg", "bicgstab", "gmres", "fgmres", "minres", "lsqr", "lsmr", "amg"), "distributed": ("cg", "pipelined_cg", "bicgstab", "gmres", "fgmres", "minres", "lsqr", "lsmr"), "frames": ("cg",)}
 DEFAULTS = {"gather": "lu", "distributed": "cg", "frames": "cg"}
 #: Dense factors in one task up to so many unknowns.
 DENSE_ROWS = 5000

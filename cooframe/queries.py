@@ -244,6 +244,12 @@ def cast_float(spark, d):
     return sold(spark, d).float().double().df
 
 
+@query(f"WITH {S} SELECT r AS row, c AS col, v AS val FROM S")
+def csr_round_trip(spark, d):
+    a = sold(spark, d)
+    return Matrix.from_csr(a.to_csr(), a.m, a.n).df
+
+
 @query(f"WITH {S} SELECT r AS row, c AS col, v AS val FROM S")
 def coalesce(spark, d):
     return sold(spark, d, agg=None).coalesce().df
@@ -626,7 +632,7 @@ def _solver(name: str, method: str, pre: str = "none", general: bool = False, n:
 
 for _name, _method, _pre, _general in (
     ("solve_auto", "auto", "none", True), ("solve_lu", "lu", "none", True), ("solve_cholesky", "cholesky", "none", False), ("solve_cg", "cg", "none", False), ("solve_cg_jacobi", "cg", "jacobi", False), ("solve_cg_ssor", "cg", "ssor", False), ("solve_cg_block_jacobi", "cg", "block_jacobi", False),
-    ("solve_cg_polynomial", "cg", "polynomial", False), ("solve_cg_ic0", "cg", "ic0", False), ("solve_bicgstab_ilu0", "bicgstab", "ilu0", True), ("solve_gmres_schwarz", "gmres", "asm", True), ("solve_cg_amg", "amg", "none", False), ("solve_pipelined_cg", "pipelined_cg", "none", False),
+    ("solve_cg_polynomial", "cg", "polynomial", False), ("solve_cg_ic0", "cg", "ic0", False), ("solve_bicgstab_ilu0", "bicgstab", "ilu0", True), ("solve_gmres_schwarz", "gmres", "asm", True), ("solve_cg_amg", "amg", "none", False), ("solve_pipelined_cg", "pipelined_cg", "none", False), ("solve_mixed_cg", "mixed_cg", "jacobi", False),
     ("solve_bicgstab", "bicgstab", "none", True), ("solve_gmres", "gmres", "none", True), ("solve_fgmres", "fgmres", "jacobi", True), ("solve_minres", "minres", "none", False), ("solve_lsqr", "lsqr", "none", True), ("solve_lsmr", "lsmr", "none", True),
 ):
     _solver(_name, _method, _pre, _general)

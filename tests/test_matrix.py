@@ -161,3 +161,14 @@ def test_coalesce_adds_up(spark, entries):
     assert np.allclose(a.coalesce().to_numpy(), d) and np.allclose(a.T.to_numpy(), d.T)
     assert a.coalesce().df.count() == len({(r, c) for r, c, _ in entries})
     assert to_driver(a.sum(1), 4).tolist() == d.sum(1).tolist()
+
+
+def test_coercion_and_csr(spark):
+    a, d = random(spark, 4, 5, 9)
+    assert np.allclose(Matrix.from_csr(a.to_csr(), 4, 5).to_numpy(), d)
+    for x in (a, d, ([1.0], [0], [1], (2, 2)), lambda v: d @ v):
+        want = np.array([[0, 1.0], [0, 0]]) if isinstance(x, tuple) else d
+        assert np.allclose(Matrix.coerce(spark, x, (4, 5)).to_numpy(), want)
+    assert np.allclose(Matrix.coerce(spark, a.df, (4, 5)).to_numpy(), d)
+    u, s, v = a.svd_distributed(2)
+    assert np.allclose(s, np.linalg.svd(d)[1][:2], rtol=1e-6) and np.allclose(d @ v, u * s, atol=1e-4)
