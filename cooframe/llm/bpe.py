@@ -275,13 +275,19 @@ def encoded(path: str):
     return run
 
 
+def id_lists(column: pa.Array) -> list[list[int]]:
+    """A column of id arrays as lists, by way of NumPy; a null is empty."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+
+
 def decoded(path: str):
     """For batches of (doc_id, ids): batches of (doc_id, ids, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for batch in batches:
-            ids = batch.column(1).to_pylist()
+            ids = id_lists(batch.column(1))
             texts = [tokenizer.decode(x, skip_special_tokens=False) if x else "" for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 

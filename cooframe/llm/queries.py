@@ -58,7 +58,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _token_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        ids, texts = bpe.id_lists(batch.column(1)), batch.column(2).to_pylist()
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())],
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
