@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .checkpoints import cut
+from .checkpoints import cut, new_path
 from .matrix import Matrix
 from .operators import gradients, nonlinear, partition, predicates, products, reductions, spectral
 from .operators.krylov import solve_distributed, solve_frames, to_frame
@@ -523,14 +523,7 @@ def parquet_one_part(spark, d):
 
 
 def _scratch(spark) -> str:
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="cooframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/matrix-{uuid.uuid4().hex}"
+    return new_path(spark, "matrix")
 
 
 # -- graphs and partitions ---------------------------------------------------
