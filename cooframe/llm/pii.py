@@ -14,7 +14,7 @@ ROUNDS = 10
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 SECRET = r"\b(?i:api[_-]?key|secret[_-]?key|access[_-]?key|token|secret|password|passwd)[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"'][A-Za-z0-9_+/=.-]{8,128}[\"']"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-NANP = r"(?<![0-9+])(?:\+?1[\x20.-]?)?(?:\([2-9][0-9]{2}\)[\x20]?|[2-9][0-9]{2}[\x20.-])[2-9][0-9]{2}[\x20.-][0-9]{4}(?![0-9])"
+NANP = r"(?<![0-9+])(?:\+1[\x20.-]?(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}|(?:1[\x20.-])?(?:\([0-9]{3}\)[\x20]?[0-9]{3}|[2-9][0-9]{2}[\x20.-][2-9][0-9]{2}))[\x20.-][0-9]{4}(?![0-9])"
 PHONE = r"(?<![0-9+])\+(?!1[\x20.(-])[1-9][0-9]{0,2}[\x20.-]?[0-9]{1,4}(?:[\x20.-][0-9]{2,4}){1,4}(?![0-9])|(?<![0-9+])\+[1-9][0-9]{7,14}(?![0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
@@ -165,13 +165,10 @@ def new_ssn(m: Column, key: str) -> Column:
 
 
 def new_nanp(m: Column, key: str) -> Column:
-    """North American numbers: area code and exchange keep a first digit of 2 to 9."""
+    """North American numbers, with +1 or in brackets in whatever range, else with a first digit of 2 to 9: the ten digits."""
     flat = digits(m)
-    n = F.substring(flat, -10, 10)
-    place = ((F.substring(n, 1, 3).cast("long") - 200) * 800 + F.substring(n, 4, 3).cast("long") - 200) * 10000 + F.substring(n, 7, 4).cast("long")
-    new = permuted(place, 80_000, 80_000, key, "nanp")
-    number = F.concat((F.floor(new / 8_000_000) + 200).cast("string"), (F.pmod(F.floor(new / 10_000), F.lit(800)) + 200).cast("string"), F.lpad(F.pmod(new, F.lit(10_000)).cast("string"), 4, "0"))
-    return poured(m, F.concat(F.substring(flat, F.lit(1), F.length(flat) - 10), number))
+    new = permuted(F.substring(flat, -10, 10).cast("long"), 100_000, 100_000, key, "nanp")
+    return poured(m, F.concat(F.substring(flat, F.lit(1), F.length(flat) - 10), F.lpad(new.cast("string"), 10, "0")))
 
 
 def is_phone(m: Column) -> Column:
