@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset (as in tests), a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="cooframe-")
+        own = tempfile.mkdtemp(prefix="cooframe-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
