@@ -68,46 +68,57 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _links(ids: list[int], sides: list[int], texts: list[str], width: int, percent: int, bands: int, rows: int) -> list[tuple[int, int]]:
     """Links that join the documents of one group into its components.
 
-    Pairs come from shared bands, the most alike signatures first. A pair
-    already joined is passed over; every other pair that could reach the
-    threshold by its sizes is compared on the whole sets. Where ``sides``
+    First each bucket's documents are compared with its first one; then, bucket
+    by bucket, every pair that is not yet joined. A pair is compared on the
+    whole sets unless the sizes rule it out or its minima agree so seldom that
+    a similarity at the threshold lies six deviations off. Where ``sides``
     differ within a group, only pairs across the two sides are compared.
     """
     sets: list[np.ndarray] = []
     for s, e in in_groups([len(t) for t in texts], _CHARS):
         sets += shingles(texts[s:e], width)
     a, b = _coefficients(bands * rows)
-    keys = np.array([band_keys(minima(x, a, b), bands, rows) for x in sets])
-    size, side, n = np.array([len(x) for x in sets]), np.array(sides), len(ids)
-    found = []
+    signature = np.stack([minima(x, a, b) for x in sets])
+    keys = np.stack([band_keys(x, bands, rows) for x in signature])
+    size, side = np.array([len(x) for x in sets]), np.array(sides)
+    one_side = len(set(sides)) == 1
+    share = percent / 100
+    agree = int(bands * rows * max(0.0, share - 6 * (share * (1 - share) / (bands * rows)) ** 0.5))
+    runs = []
     for band in range(bands):
         order = np.argsort(keys[:, band], kind="stable")
-        edge = np.flatnonzero(np.diff(keys[order, band])) + 1
-        for run in np.split(order, edge):
-            if len(run) > 1:
-                run = np.sort(run)
-                i, j = np.triu_indices(len(run), 1)
-                found.append(run[i] * n + run[j])
-    if not found:
-        return []
-    codes, votes = np.unique(np.concatenate(found), return_counts=True)
-    left, right = codes // n, codes % n
-    able = (100 * np.minimum(size[left], size[right]) >= percent * np.maximum(size[left], size[right])) & (len(set(sides)) == 1 or side[left] != side[right])
-    root = list(range(n))
+        runs += [np.sort(r) for r in np.split(order, np.flatnonzero(np.diff(keys[order, band])) + 1) if len(r) > 1]
+    root, tried, out = list(range(len(ids))), set(), []
 
     def find(i: int) -> int:
         while root[i] != i:
             root[i] = i = root[root[i]]
         return i
 
-    out = []
-    order = np.argsort(-votes[able], kind="stable")
-    for i, j in zip(left[able][order].tolist(), right[able][order].tolist()):
-        p, q = find(i), find(j)
-        if p != q and _alike(sets[i], sets[j], percent):
-            root[max(p, q)] = min(p, q)
-            if ids[i] != ids[j]:
-                out.append((ids[i], ids[j]))
+    def compare(i: int, others: np.ndarray) -> None:
+        able = 100 * np.minimum(size[i], size[others]) >= percent * np.maximum(size[i], size[others])
+        if not one_side:
+            able &= side[i] != side[others]
+        others = others[able]
+        for j in others[(signature[others] == signature[i]).sum(1) >= agree].tolist():
+            p, q = find(i), find(j)
+            if p != q and (i, j) not in tried:
+                tried.add((i, j))
+                if _alike(sets[i], sets[j], percent):
+                    root[max(p, q)] = min(p, q)
+                    if ids[i] != ids[j]:
+                        out.append((ids[i], ids[j]))
+
+    for run in runs:
+        compare(int(run[0]), run[1:])
+    for run in runs:
+        for k, i in enumerate(run[:-1].tolist()):
+            roots = np.array([find(j) for j in run[k:].tolist()])
+            rest = run[k + 1 :][roots[1:] != roots[0]]
+            if len(rest):
+                compare(i, rest)
+            elif (roots == roots[0]).all():
+                break
     return out
 
 
