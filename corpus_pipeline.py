@@ -7,14 +7,16 @@ are written as Parquet in the folder of spark.checkpoint.dir and read again.
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cooframe.llm import bpe, langid, mixing, near_dedup, pii
 from cooframe.llm.shared import written
 
-#: Least cosine with a language's profile for a document to stay.
-LEAST_SCORE = 0.1
+#: Least cosine with a language's profile for a document to stay; letters at random have one of 0.03 or so.
+LEAST_SCORE = 0.04
 KEY = "pipeline"
 
 
@@ -30,14 +32,15 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays, once."""
-    found = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id_kept")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("id_kept"))).drop("id_kept")
+    found = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__kept_id"))).drop("__kept_id")
     return kept.dropDuplicates(["doc_id", "text"])
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to pseudonyms of the same format."""
-    return pii.pseudonymise(docs, KEY).select(*docs.columns)
+    own = pii.pseudonymise(docs.select("text", F.struct(*docs.columns).alias("row")), KEY)
+    return own.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +52,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_chars`` for every row of the mix, in the public word-end vocabulary."""
 
     def counted(batches):
-        import pyarrow as pa
-
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in b.column(1).to_pylist()], pa.int64()), b.column(1), pa.array([len(t) for t in b.column(2).to_pylist()], pa.int64())], ["doc_id", "n_tokens", "ids", "decoded_chars"])
+            counts = [pc.list_value_length(b.column(1)).cast(pa.int64()), b.column(1), pc.utf8_length(b.column(2)).cast(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts], ["doc_id", "n_tokens", "ids", "decoded_chars"])
 
     return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), counted, "doc_id long, n_tokens long, ids array<int>, decoded_chars long")
 
