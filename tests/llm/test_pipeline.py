@@ -21,6 +21,7 @@ def test_stages_hold_together(spark):
             assert {r.doc_id for r in table.select("doc_id").collect()} == {r.doc_id for r in near_dedup.near_duplicates(before).where("kept").collect()}
         if name == "PII":
             assert table.where("text like '%someone@%'").count() == 0 and table.count() == before.count()
+            assert table.where("pii = 'own'").count() == before.count()
     out = P.STAGES[-1][1](spark, table, SF)
     assert out.count() == table.count()
     for _, stage in P.STAGES:
