@@ -32,3 +32,13 @@ def test_awkward_rows(spark):
     got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
     assert got[20].licenses == ["MIT"] and all(r.licenses == [] for i, r in got.items() if i != 20)
     assert licenses.scan(docs(spark, [])).collect() == []
+
+
+def test_notices_in_long_sentences_and_several_in_one(spark):
+    prose = "the harbour was quiet that morning while seven fishermen mended old nets near a crooked pier and talked about storms, prices of bread, distant cousins and a lighthouse that nobody had painted since"
+    rows = [(i, f"{prose} {t.rstrip('.')} {prose}") for i, t in enumerate(licenses.TEMPLATES.values())]
+    rows += [(100, f"{prose} released under the mit license"), (101, f"{prose} it is released under the MIT License, or released under the ISC License, and licensed under CC BY 4.0, all rights reserved, {prose}"), (102, f"{prose} a license to drive and the public domain {prose}")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs(spark, rows)).collect()}
+    for i, name in enumerate(licenses.TEMPLATES):
+        assert got[i] == [name.removesuffix("-text")], (name, got[i])
+    assert (got[100], got[101], got[102]) == (["MIT"], ["CC-BY-4.0", "ISC", "MIT", "all-rights-reserved"], [])
