@@ -1,3 +1,5 @@
+import textwrap
+
 from cooframe.llm import licenses, queries
 
 from .helpers import AWKWARD, docs
@@ -42,3 +44,19 @@ def test_notices_in_long_sentences_and_several_in_one(spark):
     for i, name in enumerate(licenses.TEMPLATES):
         assert got[i] == [name.removesuffix("-text")], (name, got[i])
     assert (got[100], got[101], got[102]) == (["MIT"], ["CC-BY-4.0", "ISC", "MIT", "all-rights-reserved"], [])
+
+
+def test_wrapped_notices_in_comments(spark):
+    rows, names = [], {}
+    for name, t in licenses.TEMPLATES.items():
+        for width in range(60, 81):
+            for mark in ("", "# ", " * ", "// ", "dnl ", "C "):
+                lines = textwrap.wrap(f"Copyright (c) 2020 The authors of a small library. {t} And so on, as usual.", width)
+                names[len(rows)] = name
+                rows.append((len(rows), f"{mark}A heading\n{mark.rstrip()}\n" + "\n".join(mark + x for x in lines) + "\n\nint main;\n"))
+    rows += [(-1, "# Redistri-\n# bution and use in source and binary\r\n# forms, with or without modification, are permitted provided that the\r\n# following conditions are met:"), (-2, "Copyright. All rights\n\nreserved by nobody"), (-3, "// All rights\n//\n// reserved, copyright")]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    for i, name in names.items():
+        assert got[i].licenses == [name.removesuffix("-text")], (rows[i], got[i])
+    assert all(rows[i][1][s.first : s.end].split()[0] in licenses.TEMPLATES[s.license] for i in names for s in got[i].spans)
+    assert (got[-1].licenses, got[-2].licenses, got[-3].licenses) == (["BSD"], [], [])
