@@ -12,14 +12,22 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-SECRET = r"\b(?i:api[_-]?key|secret[_-]?key|access[_-]?key|token|secret|password|passwd)[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"'][A-Za-z0-9_+/=.-]{8,128}[\"']"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+SECRET = r"\b(?i:api[_-]?key|secret[_-]?key|access[_-]?key|token|secret|password|passwd)[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"'][A-Za-z0-9_+/=.-]{8,}[\"']"
+#: Length of an IBAN by country.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_OWN = "(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in _LENGTHS.items()) + ")(?![A-Za-z0-9])"
+#: Of its country's own length; else of any, up to where one of the former begins.
+IBAN = rf"(?<![A-Za-z0-9])(?:{_OWN}|[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{_OWN}))?[A-Z0-9]{{4}}){{2,7}}(?:(?:\x20(?!{_OWN}))?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
 NANP = r"(?<![0-9+])(?:\+1[\x20.-]?(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}|(?:1[\x20.-])?(?:\([0-9]{3}\)[\x20]?[0-9]{3}|[2-9][0-9]{2}[\x20.-][2-9][0-9]{2}))[\x20.-][0-9]{4}(?![0-9])"
 PHONE = r"(?<![0-9+])\+(?!1[\x20.(-])[1-9][0-9]{0,2}[\x20.-]?[0-9]{1,4}(?:[\x20.-][0-9]{2,4}){1,4}(?![0-9])|(?<![0-9+])\+[1-9][0-9]{7,14}(?![0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
-CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])"
+#: A run of groups of digits, up to where another kind begins; cards are sought within it.
+CARD = rf"(?<![0-9])(?=[0-9](?:[\x20-]?[0-9]){{12}})[0-9]++(?:[\x20-](?!{EMAIL}|{DATE}|{SSN}|{IP}|{NANP})[0-9]++)*+"
 ANY = "|".join((EMAIL, SECRET, IBAN, DATE, SSN, IP, NANP, PHONE, CARD))
 #: A text without any of these characters holds nothing of the above.
 GATE = r"""[@0-9"']"""
@@ -55,15 +63,19 @@ def respelled(text: Column, key: str, kind: str) -> Column:
     """
 
     def moved(half: Column, other: Column, i: Column) -> Column:
-        stream = F.concat(_hash(key, kind, i.cast("string"), F.lit("a"), other), _hash(key, kind, i.cast("string"), F.lit("b"), other))
+        made = F.concat(_hash(key, kind, i.cast("string"), F.lit("a"), other), _hash(key, kind, i.cast("string"), F.lit("b"), other))
 
-        def one(c: Column, at: Column) -> Column:
-            by = F.conv(F.substring(stream, (at % 64) * 4 + 1, F.lit(4)), 16, 10).cast("int")
-            code = F.ascii(c)
-            within = lambda first, n: F.char(F.lit(first) + (code - first + by) % n)
-            return F.when(code.between(48, 57), within(48, 10)).when(code.between(97, 122), within(97, 26)).when(code.between(65, 90), within(65, 26)).otherwise(c)
+        def all_(stream: Column) -> Column:
+            def one(c: Column, at: Column) -> Column:
+                by = F.conv(F.substring(stream, (at % 64) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                code = F.ascii(c)
+                within = lambda first, n: F.char(F.lit(first) + (code - first + by) % n)
+                return F.when(code.between(48, 57), within(48, 10)).when(code.between(97, 122), within(97, 26)).when(code.between(65, 90), within(65, 26)).otherwise(c)
 
-        return F.array_join(F.transform(F.split(half, ""), one), "")
+            return F.array_join(F.transform(F.split(half, ""), one), "")
+
+        # a lambda's argument is made once, not for every character
+        return F.transform(F.array(made), all_)[0]
 
     def turn(s: Column, i: Column) -> Column:
         return F.struct(F.when(i % 2 == 0, moved(s["l"], s["r"], i)).otherwise(s["l"]).alias("l"), F.when(i % 2 == 1, moved(s["r"], s["l"], i)).otherwise(s["r"]).alias("r"))
@@ -110,6 +122,44 @@ def new_card(m: Column, key: str) -> Column:
     return poured(m, F.concat(body, check))
 
 
+def _part(kind: str | None, value: Column) -> Column:
+    return F.struct(F.lit(kind).cast("string").alias("kind"), value.alias("value"))
+
+
+def card_parts(m: Column, key: str) -> Column:
+    """A run of groups of digits as parts: from the left, the longest reading of whole groups with 13 to 19 digits that passes Luhn is a card.
+
+    Readings one after another that are each as long as can be may have groups
+    of any size; all others, of which there are many in a table of numbers,
+    only groups of three digits or more.
+    """
+
+    def within(groups: Column) -> Column:
+        reading = lambda i, e: F.rtrim(F.array_join(F.slice(groups, i, e - i + 1), ""), F.lit(" -"))
+
+        def step(s: Column, i: Column) -> Column:
+            def at(ends: Column) -> Column:
+                fits = F.filter(ends, lambda e: is_card(reading(i, e)) & (((i == s["fresh"]) & (e == ends[0])) | F.forall(F.slice(groups, i, e - i + 1), lambda g: F.length(digits(g)) >= 3)))
+                return F.transform(F.array(F.struct(F.get(fits, F.lit(0)).alias("end"), F.get(ends, F.lit(0)).alias("longest"))), put)[0]
+
+            def put(x: Column) -> Column:
+                card = reading(i, x["end"])
+                rest = F.element_at(groups, x["end"])
+                new = F.array(_part("card", new_card(card, key)), _part(None, F.substring(rest, F.length(digits(rest)) + 1, F.lit(1))))
+                parts = F.concat(s["parts"], F.when(x["end"].isNotNull(), new).otherwise(F.array(_part(None, F.element_at(groups, i)))))
+                skip = F.coalesce(x["end"], i)
+                fresh = F.when(x["end"].isNotNull(), x["end"] + 1).when(i == s["fresh"], F.coalesce(x["longest"], i) + 1).otherwise(s["fresh"])
+                return F.struct(parts.alias("parts"), skip.alias("skip"), fresh.alias("fresh"))
+
+            ends = F.filter(F.sequence(F.least(i + 18, F.size(groups)), i, F.lit(-1)), lambda e: F.length(digits(reading(i, e))).between(13, 19))
+            return F.when(i <= s["skip"], s).otherwise(F.transform(F.array(ends), at)[0])
+
+        start = F.struct(F.array().cast("array<struct<kind:string,value:string>>").alias("parts"), F.lit(0).alias("skip"), F.lit(1).alias("fresh"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda s: s["parts"])
+
+    return F.transform(F.array(F.regexp_extract_all(m, F.lit(r"[0-9]+[\x20-]?"), F.lit(0))), within)[0]
+
+
 def _iban_rest(country_and_body: Column, check: Column) -> Column:
     """Remainder of an IBAN by 97, its first four places moved to the end and letters read as 10 to 35."""
     moved = F.concat(F.substring(country_and_body, F.lit(3), F.length(country_and_body)), F.substring(country_and_body, 1, 2), check)
@@ -222,21 +272,20 @@ def _kinds(m: Column, key: str) -> list[tuple[str, Column, Column]]:
         ("ssn", is_(SSN) & is_ssn(m), new_ssn(m, key)),
         ("ip", is_(IP) & is_ip(m), new_ip(m, key)),
         ("iban", is_(IBAN) & is_iban(m), new_iban(m, key)),
-        ("card", is_(CARD) & is_card(m), new_card(m, key)),
         ("nanp", is_(NANP), new_nanp(m, key)),
         ("phone", m.startswith("+") & is_phone(m), new_phone(m, key)),
     ]
 
 
 def replacements(text: Column, key: str) -> Column:
-    """``array<struct<kind, value>>``: for each candidate in turn its kind and pseudonym; kind null where it is not valid and stays."""
+    """``array<array<struct<kind, value>>>``: for each candidate in turn its parts, each with kind and pseudonym; kind null where it is not valid and stays."""
 
     def one(m: Column) -> Column:
         out = None
         for kind, holds, new in _kinds(m, key):
-            pair = F.struct(F.lit(kind).alias("kind"), new.alias("value"))
-            out = F.when(holds, pair) if out is None else out.when(holds, pair)
-        return out.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value")))
+            parts = F.array(_part(kind, new))
+            out = F.when(holds, parts) if out is None else out.when(holds, parts)
+        return out.when(m.rlike(r"^[0-9][0-9\x20-]*$"), card_parts(m, key)).otherwise(F.array(_part(None, m)))
 
     return F.when(text.rlike(GATE), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), one))
 
@@ -246,14 +295,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     E-mail addresses, quoted secrets, IBANs, payment cards (Luhn), dates
     (calendar, 1900 to 2099), social security numbers, IPv4 addresses and
-    telephone numbers are replaced; what fails its validation stays. A null
+    telephone numbers are replaced; what fails its validation stays, after
+    shorter readings of whole groups were tried for a card. A null
     text stays null; an empty one, and one without such data, stays as it is
     and has an empty ``pii``. Rows, their order of columns and all other
     columns stay; a column ``pii`` of the input is replaced. Nothing is
     shuffled.
     """
     column = F.col(text)
-    found = docs.withColumn("pii", F.coalesce(replacements(column, key), F.array().cast("array<struct<kind:string,value:string>>")))
-    pieces = F.zip_with(F.split(column, ANY), F.col("pii"), lambda p, m: F.concat(p, F.coalesce(m["value"], F.lit(""))))
+    found = docs.withColumn("pii", F.coalesce(replacements(column, key), F.array().cast("array<array<struct<kind:string,value:string>>>")))
+    pieces = F.zip_with(F.split(column, ANY), F.col("pii"), lambda p, m: F.concat(p, F.coalesce(F.array_join(F.transform(m, lambda x: x["value"]), ""), F.lit(""))))
     done = found.withColumn(text, F.when(F.size("pii") > 0, F.array_join(pieces, "")).otherwise(column))
-    return done.withColumn("pii", F.filter("pii", lambda m: m["kind"].isNotNull()))
+    return done.withColumn("pii", F.filter(F.flatten("pii"), lambda m: m["kind"].isNotNull()))
