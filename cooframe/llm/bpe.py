@@ -98,6 +98,10 @@ def _ranked(spec: dict):
     return tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+#: tiktoken's pattern runs out of stack on about a million white-space characters in a row; from here on its ids are not asked for.
+_GAP = re.compile(r"(?<!\s)\s{100000}")
+
+
 class Encoder:
     """Ids of whole texts, exactly as the tokenizers library gives them.
 
@@ -140,12 +144,15 @@ class Encoder:
             return text.replace("\n", " ").split(" ")
         pieces = text.split(" ")
         if _DOUBLE_GAP.search(text) or pieces[-1][-1:].isspace() or not pieces[-1]:
-            out = pieces[:1]
+            out, joined, end = [], pieces[:1], pieces[0][-1:]
             for p in pieces[1:]:
-                if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-                    out.append(p)
+                if p and not p[0].isspace() and end and not end.isspace():
+                    out.append(" ".join(joined))
+                    joined = [p]
                 else:
-                    out[-1] += " " + p
+                    joined.append(p)
+                end = p[-1:] or " "
+            out.append(" ".join(joined))
             return out
         return pieces
 
@@ -181,7 +188,7 @@ class Encoder:
         return out
 
     def _by_ranks(self, text: str | None) -> bytes | None:
-        """Ids of a text of Latin-1 characters without special tokens; None for any other text."""
+        """Ids of a text of Latin-1 characters without special tokens and long gaps; None for any other text, and where tiktoken refuses."""
         if not text:
             return b""
         try:
@@ -190,7 +197,12 @@ class Encoder:
             return None
         if any(m in text for m in self.marks):
             return None
-        ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        if _GAP.search(text):
+            return None
+        try:
+            ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:  # its pattern has run out of stack
+            return None
         self.turn += 1
         if self.turn % CHECKED == 1 and ids != self._whole(text):
             raise RuntimeError("ids by ranks differ from the tokenizers library's")

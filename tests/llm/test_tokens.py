@@ -131,3 +131,11 @@ def test_cuts_follow_content():
     crc = zlib.crc32(a.tobytes())
     whole = zlib.crc32(a.tobytes() + b.tobytes())
     assert int(token_store.shifted(np.array([crc]), np.array([len(b)]))[0]) ^ zlib.crc32(b.tobytes()) == whole
+
+
+def test_gaps_that_tiktoken_refuses():
+    path = P.path("byte_bpe_50k.json")
+    own, library = bpe.Encoder(path), Tokenizer.from_file(path)
+    for t in ("a" + " " * 2_000_000 + "b", " " * 2_000_000, "\n" * 1_100_000 + "x"):
+        ids = own.encode([t, "next to it"])
+        assert library.decode(np.frombuffer(ids[0], "<u4").tolist(), skip_special_tokens=False) == t
