@@ -6,6 +6,8 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,18 +16,14 @@ from pyspark.sql import functions as F
 
 from ._text import in_groups
 
-#: Pieces without a space from this length on are encoded by tree concatenation.
-LONG, LEAF = 4096, 1024
-#: Memo: words in each of its two generations, pieces made of them, and the longest piece it keeps.
-MEMO, MEMO_CHARS = 150_000, 40
+#: Words (in the tokenizer's sense) from this length on are encoded by tree concatenation, from leaves of so many symbols, in so many threads.
+LONG, LEAF, THREADS = 4096, 1024, 2
+#: Memo: words it holds, the longest word it keeps, and ids in all.
+MEMO, MEMO_CHARS, MEMO_IDS = 400_000, 40, 1 << 23
 _CHARS = 1 << 20
-#: One in so many texts that tiktoken encodes is held against the tokenizers library.
-CHECKED = 512
-#: The split that a byte-level pre-tokenizer makes before merges.
-_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_DOUBLE_GAP = re.compile(r"\s\s")
-#: A word of Latin letters and the marks right after it, which every tokenizer here takes apart.
-_WORD_MARKS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+#: Words that one call of the library encodes, joined by a word whose id is known.
+_AT_ONCE = 1000
+LETTER, NUMBER, SPACE, OTHER = range(1, 5)
 
 
 def load(path: str):
@@ -40,7 +38,7 @@ def load(path: str):
 
 
 class Tree:
-    """Encodes one long run of symbols: leaves in one batch, then joins, level by level.
+    """Encodes one long run of symbols: leaves in parallel, then joins, level by level.
 
     At each join a window around it is encoded anew, twice as wide each time,
     until its outer tokens on both sides are those that were there. Neighbours
@@ -58,10 +56,14 @@ class Tree:
         self.inner = Tokenizer(models.BPE(model["vocab"], merges))
         self.last = Tokenizer(models.BPE(model["vocab"], merges, end_of_word_suffix=self.suffix)) if self.suffix else self.inner
         self.words = {i: w for w, i in model["vocab"].items()}
+        self.pool = ThreadPoolExecutor(THREADS)
 
     def encode(self, symbols: str) -> list[int]:
         cuts = [symbols[i : i + LEAF] for i in range(0, len(symbols), LEAF)]
-        parts = [e.ids for e in self.inner.encode_batch_fast(cuts[:-1], add_special_tokens=False)]
+        share = -(-len(cuts) // THREADS)
+        # the library works outside Python's lock, so the shares are encoded at the same time
+        halves = self.pool.map(lambda s: [e.ids for e in self.inner.encode_batch_fast(cuts[s : min(s + share, len(cuts) - 1)], add_special_tokens=False)], range(0, len(cuts), share))
+        parts = [ids for half in halves for ids in half]
         parts.append(self.last.encode(cuts[-1], add_special_tokens=False).ids)
         while len(parts) > 1:
             joined = [self.join(parts[i], parts[i + 1], i + 2 == len(parts)) for i in range(0, len(parts) - 1, 2)]
@@ -83,182 +85,240 @@ class Tree:
             width *= 2
 
 
-def _ranked(spec: dict):
-    """The merges of a byte-level file as ranks for tiktoken, several times as fast; None where the file is not of that kind."""
-    import tiktoken
-
-    model, pre = spec["model"], spec["pre_tokenizer"]
-    words = sorted(model["vocab"], key=model["vocab"].get)
-    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
-    if spec["normalizer"] or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("dropout") or model.get("ignore_merges") or words[256:] != merges or list(model["vocab"][w] for w in words) != list(range(len(words))):
+def _kind(spec: dict) -> str | None:
+    """``bytes`` or ``words`` for the two forms of file whose split into words is known here, None for any other."""
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    plain = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+    if model["type"] != "BPE" or model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or not plain:
         return None
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
-    ranks = {bytes(byte[c] for c in w): i for i, w in enumerate(words)}
-    return tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["normalizer"] is None:
+        return "bytes"
+    split = (pre.get("pretokenizers") or [{}])[0]
+    if split.get("type") == "Split" and split.get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"} and split.get("invert") and split.get("behavior") == "Removed":
+        names = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        return "words" if names == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre["pretokenizers"][1:]] == ["ByteLevel"] else None
+    return None
+
+
+class Words:
+    """Splits texts into words exactly as a tokenizer does.
+
+    What is a letter, a number or white space is asked of the tokenizer itself,
+    for each block of 256 code points when one first occurs, so no table of
+    another Unicode version comes in.
+    """
+
+    def __init__(self, tokenizer, kind: str) -> None:
+        self.split, self.kind = tokenizer.pre_tokenizer.pre_tokenize_str, kind
+        self.classes = np.zeros(0x110000, np.uint8)
+        self.blocks: set[int] = set()
+        self.unknown = None
+        self.learn({0})
+        self.ascii = self.pattern
+
+    def _class(self, c: str) -> int:
+        whole = lambda t: [s for _, s in self.split(t)] == [(0, len(t))]
+        if whole("a" + c):
+            return LETTER
+        if whole("." + c):
+            return OTHER
+        if self.kind == "words":
+            return NUMBER if self.split(c) else SPACE
+        return NUMBER if whole("1" + c) else SPACE
+
+    def learn(self, blocks: set[int]) -> None:
+        for b in blocks - self.blocks:
+            for c in range(b * 256, b * 256 + 256):
+                self.classes[c] = OTHER if 0xD800 <= c < 0xE000 else self._class(chr(c))
+        self.blocks |= blocks
+        letter, number, space = (self._range(k) for k in (LETTER, NUMBER, SPACE))
+        marks = "'(?:s|t|re|ve|m|ll|d)"
+        if self.kind == "bytes":
+            pattern = rf"{marks}| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+        else:
+            pattern = rf"{marks}|[{letter}]+|[{number}]|[^{space}{letter}{number}]+"
+        self.pattern = re.compile(pattern)
+        self.unknown = re.compile("[^" + "".join(rf"\U{b * 256:08x}-\U{b * 256 + 255:08x}" for b in sorted(self.blocks)) + "]")
 
+    def _range(self, k: int) -> str:
+        on = np.flatnonzero(self.classes == k)
+        runs = np.split(on, np.flatnonzero(np.diff(on) > 1) + 1)
+        return "".join(rf"\U{r[0]:08x}-\U{r[-1]:08x}" for r in runs if len(r))
 
-#: tiktoken's pattern runs out of stack on about a million white-space characters in a row; from here on its ids are not asked for.
-_GAP = re.compile(r"(?<!\s)\s{100000}")
+    def find(self, text: str):
+        """The pattern for a text, all of whose characters it knows."""
+        if text.isascii():
+            return self.ascii
+        if self.unknown.search(text):
+            self.learn({ord(c) >> 8 for c in set(text)})
+        return self.pattern
+
+
+class Memo(dict):
+    """Word to its place in the memo's tables; a word not yet there gets the next place and waits for its ids."""
+
+    def __init__(self) -> None:
+        self.waiting: list[str] = []
+        self.places = 0
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = self.places
+        self.places += 1
+        self.waiting.append(word)
+        return at
 
 
 class Encoder:
     """Ids of whole texts, exactly as the tokenizers library gives them.
 
-    Texts are cut at spaces where no rule of the tokenizer looks across, and
-    pieces further into a word and the marks after it, and at line ends. The
-    ids of each distinct part are computed once and kept in a bounded memo.
-    ``spaced``: a space belongs to the word after it (byte-level BPE);
-    otherwise white space is dropped. For byte-level files texts of Latin-1
-    characters take the same merges from tiktoken instead.
+    Texts are cut into words where the tokenizer cuts them; the library encodes
+    each distinct word once, many in a call, and a bounded memo keeps the ids
+    of words that return. Texts that hold the string of a special token, and
+    all texts under a file of another form, are encoded by the library whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.spaced = spec["pre_tokenizer"]["type"] == "ByteLevel"
-        self.marks = tuple(t["content"] for t in spec["added_tokens"])
+        self.kind = _kind(spec)
+        self.marks = [t["content"] for t in spec["added_tokens"]]
         self.path, self.tree = path, None
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {"\n": self._whole("\n")}
-        self.fast, self.turn = _ranked(spec) if self.spaced else None, 0
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _long(self, piece: str) -> bytes:
-        if any(m in piece for m in self.marks):
-            return self._whole(piece)
+        if self.kind:
+            # words are of normalised text, which another pass might change
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "truncation": None, "padding": None}))
+            self.words = Words(self.tokenizer, self.kind)
+            # no other word has the separator's id: a digit, or a line end, is never part of one
+            self.separator = "\n" if self.kind == "bytes" else " 0 "
+            (self.separator_id,) = self._word(self.separator)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.memo, self.flat = Memo(), np.empty(1 << 16, np.uint32)
+        self.first, self.size, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.filled = 0
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _word(self, words: str) -> list[int]:
+        return self.plain.encode(words, add_special_tokens=False).ids
+
+    def _long(self, word: str) -> list[int]:
         self.tree = self.tree or Tree(self.path)
-        text = self.tokenizer.normalizer.normalize_str(piece) if self.tokenizer.normalizer else piece
-        out: list[int] = []
-        for symbols, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
-            out += self.tree.encode(symbols)
-        return np.array(out, "<u4").tobytes()
-
-    def _pieces(self, text: str) -> list[str]:
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        pieces = text.split(" ")
-        if _DOUBLE_GAP.search(text) or pieces[-1][-1:].isspace() or not pieces[-1]:
-            out, joined, end = [], pieces[:1], pieces[0][-1:]
-            for p in pieces[1:]:
-                if p and not p[0].isspace() and end and not end.isspace():
-                    out.append(" ".join(joined))
-                    joined = [p]
-                else:
-                    joined.append(p)
-                end = p[-1:] or " "
-            out.append(" ".join(joined))
-            return out
-        return pieces
-
-    def _parts(self, piece: str) -> list[str] | None:
-        """First part of a piece, after whose space it stands, and the parts that follow without one; None where it is one part."""
-        out: list[str] = []
-        for k, line in enumerate(piece.split("\n")):
-            if k:
-                out.append("\n")
-            m = _WORD_MARKS.fullmatch(line)
-            if m is None:
-                return None
-            out.append(m[1])
-            if m[2]:
-                out.append(m[2])
-        return out if len(out) > 1 else None
-
-    def _known(self, part: str) -> bytes | None:
-        """A word's ids from the memo; a word of the older generation moves to the newer."""
-        found = self.new.get(part)
-        if found is None and (found := self.old.get(part)) is not None:
-            self.new[part] = found
-        return found
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        if self.fast is None:
-            return self._by_pieces(texts)
-        out = [self._by_ranks(t) for t in texts]
-        rest = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(rest, self._by_pieces([texts[k] for k in rest]) if rest else []):
-            out[k] = ids
-        return out
-
-    def _by_ranks(self, text: str | None) -> bytes | None:
-        """Ids of a text of Latin-1 characters without special tokens and long gaps; None for any other text, and where tiktoken refuses."""
-        if not text:
-            return b""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return None
-        if any(m in text for m in self.marks):
-            return None
-        if _GAP.search(text):
-            return None
-        try:
-            ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
-        except ValueError:  # its pattern has run out of stack
-            return None
-        self.turn += 1
-        if self.turn % CHECKED == 1 and ids != self._whole(text):
-            raise RuntimeError("ids by ranks differ from the tokenizers library's")
-        return ids
-
-    def _by_pieces(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._pieces(t) if t else [""] for t in texts]
-        first = [p.pop(0) for p in cut] if self.spaced else [""] * len(cut)
-        if len(self.new) > MEMO:
-            self.old, self.new = self.new, {}
-        if len(self.pieces) > MEMO:
-            self.pieces = {"": b""}
-        if len(self.plain) > MEMO:
-            self.plain = {"\n": self.plain["\n"]}
-        pieces, plain = self.pieces, self.plain
-        once: dict[str, bytes] = {}
-        made: list[tuple[str, list[str]]] = []
-        heads, tails = set(), set()
-        known = self._known
-        for p in set().union(*cut).difference(pieces):
-            if len(p) >= LONG:
-                once[p] = self._long(" " + p if self.spaced else p)
-            elif len(p) > MEMO_CHARS:
-                heads.add(p)
-            elif (found := known(p)) is not None:
-                pieces[p] = found
-            elif parts := self._parts(p):
-                made.append((p, parts))
-                if known(parts[0]) is None:
-                    heads.add(parts[0])
-                tails.update(parts[1:])
-            else:
-                heads.add(p)
-        if self.spaced:
-            bare = list(tails.difference(plain))
+        ((symbols, _),) = self.tokenizer.pre_tokenizer.pre_tokenize_str(word)
+        return self.tree.encode(symbols)
+
+    def _put(self, places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.filled + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        self.first[places] = self.filled + np.cumsum(sizes) - sizes
+        self.size[places] = sizes
+        self.filled += len(ids)
+
+    def _learn(self) -> None:
+        """Ids for the words that wait."""
+        memo, waiting = self.memo, self.memo.waiting
+        while memo.places > len(self.first):
+            self.first, self.size, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.used))
+        base = memo.places - len(waiting)
+        short, alone = [], []
+        for k, w in enumerate(waiting):
+            # white space next to a separator would run into it; a long word is the tree's
+            (alone if len(w) >= LONG or (self.kind == "bytes" and w[-1:].isspace()) or w == self.separator.strip() else short).append(k)
+        runs = [short[s : s + _AT_ONCE] for s in range(0, len(short), _AT_ONCE)]
+        for some, found in zip(runs, self.plain.encode_batch_fast([self.separator.join([waiting[k] for k in some]) for some in runs], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.separator_id), len(ids))
+            if len(ends) != len(some):
+                raise RuntimeError("words ran into one another")
+            sizes = np.diff(ends, prepend=-1) - 1
+            self._put(base + np.array(some), ids[ids != self.separator_id], sizes)
+        for k in alone:
+            ids = np.array(self._long(waiting[k]) if len(waiting[k]) >= LONG else self._word(waiting[k]), np.uint32)
+            self._put(np.array([base + k]), ids, np.array([len(ids)]))
+        for k, w in enumerate(waiting):
+            if len(w) > MEMO_CHARS:
+                del memo[w]
+        waiting.clear()
+
+    def _forget(self) -> None:
+        """Keep the words that came back, most used first, half of the memo at most."""
+        old, first, size, used, flat = self.memo, self.first, self.size, self.used, self.flat
+        again = [(w, p) for w, p in old.items() if used[p] > 1]
+        if len(again) > MEMO // 2:
+            least = np.partition(np.array([used[p] for _, p in again]), len(again) - MEMO // 2)[len(again) - MEMO // 2]
+            again = [(w, p) for w, p in again if used[p] > least]
+        self._clear()
+        if again:
+            places = np.array([p for _, p in again])
+            for w, _ in again:
+                self.memo[w]
+            self.memo.waiting.clear()
+            while self.memo.places > len(self.first):
+                self.first, self.size, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.used))
+            self._put(np.arange(len(places)), _gather(flat, first[places], size[places]), size[places])
+
+    def _ids(self, text: str) -> Iterator[np.ndarray]:
+        """Places of a text's words in the memo, a bounded number at a time."""
+        if self.kind == "words":
+            text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
+        find, get = self.words.find(text), self.memo.__getitem__
+        if len(text) <= _CHARS:
+            yield np.array(list(map(get, find.findall(text))), np.int64)
         else:
-            bare = []
-            heads.update(x for x in tails if known(x) is None)
-        ask = list(heads)
-        found = self.tokenizer.encode_batch_fast(([" " + p for p in ask] if self.spaced else ask) + bare, add_special_tokens=False)
-        ids = [np.array(e.ids, "<u4").tobytes() for e in found]
-        for p, x in zip(ask, ids):
-            if len(p) <= MEMO_CHARS:
-                self.new[p] = pieces[p] = x
-            else:
-                once[p] = x
-        plain.update(zip(bare, ids[len(ask) :]))
-        new = self.new
-        later = plain if self.spaced else new
-        for p, parts in made:
-            pieces[p] = new[parts[0]] + b"".join([later[x] for x in parts[1:]])
-        starts = [self._long(p) if len(p) >= LONG else self._whole(p) if p else b"" for p in first]
-        if once:
-            return [h + b"".join([once[p] if p in once else pieces[p] for p in c]) for h, c in zip(starts, cut)]
-        get = pieces.__getitem__
-        return [h + b"".join(map(get, c)) for h, c in zip(starts, cut)]
+            words = (m[0] for m in find.finditer(text))
+            while len(some := list(islice(words, 100_000))):
+                yield np.array(list(map(get, some)), np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and the last one's end; null is empty."""
+        parts: list[np.ndarray] = []
+        sizes = np.zeros(len(texts) + 1, np.int64)
+        held: list[np.ndarray] = []
+        owners: list[int] = []
+
+        def flush() -> None:
+            """Ids of the words held so far, in one gathering."""
+            if not held:
+                return
+            self._learn()
+            places = np.concatenate(held)
+            counts = self.size[places]
+            parts.append(_gather(self.flat, self.first[places], counts))
+            self.used[: self.memo.places] += np.bincount(places, minlength=self.memo.places)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            at = np.cumsum([0, *map(len, held)])
+            np.add.at(sizes, np.array(owners) + 1, ends[at[1:]] - ends[at[:-1]])
+            held.clear()
+            owners.clear()
+            if len(self.memo) > MEMO or self.filled > MEMO_IDS:
+                self._forget()
+
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.kind or any(m in text for m in self.marks):
+                flush()
+                parts.append(np.array(self._whole(text), np.uint32))
+                sizes[k + 1] = len(parts[-1])
+                continue
+            for places in self._ids(text):
+                held.append(places)
+                owners.append(k)
+                if len(text) > _CHARS:
+                    flush()
+        flush()
+        return np.concatenate([np.empty(0, np.uint32), *parts]), np.cumsum(sizes)
+
+
+def _gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``first``, one after another."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -279,10 +339,8 @@ def encoded(path: str):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for s, e in in_groups([len(t or "") for t in texts], _CHARS):
-                ids = [np.frombuffer(b, "<u4") for b in own.encode(texts[s:e])]
-                ends = np.cumsum([0, *map(len, ids)])
-                values = pa.array(np.concatenate(ids).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values).cast(pa.list_(pa.int32()))], ["doc_id", "ids"])
+                ids, ends = own.encode(texts[s:e])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))], ["doc_id", "ids"])
 
     return run
 
@@ -293,15 +351,37 @@ def id_lists(column: pa.Array) -> list[list[int]]:
     return [values[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
 
 
+class Decoder:
+    """Texts of ids, as the tokenizers library decodes them, special tokens included."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = load(path)
+        self.words = None
+        if self.tokenizer.decoder is None:  # then tokens are joined by spaces, and ids that none has count for nothing
+            known = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.words = [None] * (max(known.values(), default=-1) + 1)
+            for w, i in known.items():
+                self.words[i] = w
+
+    def decode(self, ids: list[int]) -> str:
+        if self.words is None:
+            return self.tokenizer.decode(ids, skip_special_tokens=False) if ids else ""
+        try:
+            return " ".join(map(self.words.__getitem__, ids)) if not ids or min(ids) >= 0 else self._some(ids)
+        except (IndexError, TypeError):
+            return self._some(ids)
+
+    def _some(self, ids: list[int]) -> str:
+        return " ".join(w for i in ids if 0 <= i < len(self.words) and (w := self.words[i]) is not None)
+
+
 def decoded(path: str):
     """For batches of (doc_id, ids): batches of (doc_id, ids, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
+        own = Decoder(path)
         for batch in batches:
-            ids = id_lists(batch.column(1))
-            texts = [tokenizer.decode(x, skip_special_tokens=False) if x else "" for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([own.decode(x) for x in id_lists(batch.column(1))], pa.string())], ["doc_id", "ids", "text"])
 
     return run
 
@@ -315,7 +395,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     ``path``: a tokenizers file. Null and empty texts have no ids. Rows with
     equal doc_id stay apart; other columns are ignored; an empty table gives
-    an empty one. Memory is bounded by the memo and one text.
+    an empty one. Memory is bounded by the memo and one text with its ids.
     """
     return _docs(docs).mapInArrow(encoded(path), "doc_id long, ids array<int>")
 
