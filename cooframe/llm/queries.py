@@ -101,11 +101,22 @@ WITH d AS (
   SELECT source, source_size, least(stop, coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level LIMIT 1) * w, stop)) AS target FROM l
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0) ELSE 0.0 END AS copies FROM t
+), m AS (
+  SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS rest, target - floor(copies)::BIGINT * source_size AS wanted FROM e
+), k AS (
+  SELECT source, len(bin(size)) AS digits, sum(size)::BIGINT AS words, greatest(1, 32 - len(bin(size)))::BIGINT AS weight FROM d GROUP BY ALL
+), f AS (
+  SELECT k.*, (wanted - coalesce(sum(words) OVER (PARTITION BY k.source ORDER BY digits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(words * weight) OVER (PARTITION BY k.source ORDER BY digits ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS scale FROM k JOIN m ON k.source IS NOT DISTINCT FROM m.source AND rest > 0
+), g AS (SELECT source, arg_min(scale, digits) AS scale FROM f WHERE scale * weight <= 1 GROUP BY source
+), c AS (
+  SELECT d.*, m.source_size, m.target, m.whole, m.rest, m.wanted, m.rest / (1 - m.rest) AS odds, least(1.0::DOUBLE, coalesce(g.scale * greatest(1, 32 - len(bin(size))), 1.0)) AS chance
+  FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source LEFT JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), q AS (SELECT *, CASE WHEN chance >= 1 THEN 0.0 ELSE u / (1 - u) / (chance / (1 - chance)) * odds END AS scaled FROM c
 ), p AS (
-  SELECT d.*, e.source_size, e.target, floor(copies)::BIGINT AS whole, copies - floor(copies) AS rest,
-    sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id) - size / 2 AS middle FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY scaled / (1 + scaled), doc_id) - size / 2 AS middle FROM q
 )
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN rest > 0 AND middle <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM p""",
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN rest > 0 AND middle <= wanted THEN 1 ELSE 0 END))::BIGINT AS taken FROM p""",
     "op4_dual_tree_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
