@@ -2,7 +2,10 @@
 
 Each kind is found by its form and validated (checksum, ranges, calendar), then
 permuted within its format by a keyed Feistel network, so equal values have
-equal pseudonyms in every document and different values different ones.
+equal pseudonyms in every document, whatever notation a telephone number or a
+date has, and different values different ones. A date keeps which side of the
+12th of its month it is on: then day/month/year stays apart from
+month/day/year, and each notation has as many pseudonyms as dates.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ _LENGTHS = {
 _OWN = "(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in _LENGTHS.items()) + ")(?![A-Za-z0-9])"
 #: Of its country's own length; else of any, up to where one of the former begins.
 IBAN = rf"(?<![A-Za-z0-9])(?:{_OWN}|[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{_OWN}))?[A-Z0-9]{{4}}){{2,7}}(?:(?:\x20(?!{_OWN}))?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
-NANP = r"(?<![0-9+])(?:\+1[\x20.-]?(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}|(?:1[\x20.-])?(?:\([0-9]{3}\)[\x20]?[0-9]{3}|[2-9][0-9]{2}[\x20.-][2-9][0-9]{2}))[\x20.-][0-9]{4}(?![0-9])"
+NANP = r"(?<![0-9+])\+1[0-9]{10}(?![0-9])|(?<![0-9+])(?:\+1[\x20.-]?(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}|(?:1[\x20.-])?(?:\([0-9]{3}\)[\x20]?[0-9]{3}|[2-9][0-9]{2}[\x20.-][2-9][0-9]{2}))[\x20.-][0-9]{4}(?![0-9])"
 PHONE = r"(?<![0-9+])\+(?!1[\x20.(-])[1-9][0-9]{0,2}[\x20.-]?[0-9]{1,4}(?:[\x20.-][0-9]{2,4}){1,4}(?![0-9])|(?<![0-9+])\+[1-9][0-9]{7,14}(?![0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
@@ -215,9 +218,23 @@ def new_ssn(m: Column, key: str) -> Column:
 
 
 def new_nanp(m: Column, key: str) -> Column:
-    """North American numbers, with +1 or in brackets in whatever range, else with a first digit of 2 to 9: the ten digits."""
+    """North American numbers in any notation, by their last ten digits.
+
+    Numbers whose area and exchange begin with 2 to 9 stay such numbers; all
+    others, which only +1 or brackets mark, stay others.
+    """
     flat = digits(m)
-    new = permuted(F.substring(flat, -10, 10).cast("long"), 100_000, 100_000, key, "nanp")
+    ten = F.substring(flat, -10, 10)
+    area, exchange, line = (F.substring(ten, k, n).cast("long") for k, n in ((1, 3), (4, 3), (7, 4)))
+    usual = (area >= 200) & (exchange >= 200)
+    inside = permuted(((area - 200) * 800 + exchange - 200) * 10_000 + line, 80_000, 80_000, key, "nanp")
+    inside = ((F.floor(inside / 8_000_000) + 200) * 1000 + F.pmod(F.floor(inside / 10_000), F.lit(800)) + 200) * 10_000 + F.pmod(inside, F.lit(10_000))
+    # others: areas below 200 with all exchanges, then the other areas with exchanges below 200
+    at = F.when(area < 200, (area * 1000 + exchange) * 10_000 + line).otherwise(2_000_000_000 + ((area - 200) * 200 + exchange) * 10_000 + line)
+    moved = permuted(at, 60_000, 60_000, key, "nanp-other")
+    rest = moved - 2_000_000_000
+    outside = F.when(moved < 2_000_000_000, moved).otherwise(((F.floor(rest / 2_000_000) + 200) * 1000 + F.pmod(F.floor(rest / 10_000), F.lit(200))) * 10_000 + F.pmod(rest, F.lit(10_000)))
+    new = F.when(usual, inside).otherwise(outside)
     return poured(m, F.concat(F.substring(flat, F.lit(1), F.length(flat) - 10), F.lpad(new.cast("string"), 10, "0")))
 
 
@@ -237,24 +254,48 @@ def _day(m: Column) -> Column:
     return F.when(m.contains("-"), parse("yyyy-MM-dd")).when(m.contains("."), parse("dd.MM.yyyy")).otherwise(F.coalesce(parse("MM/dd/yyyy"), parse("dd/MM/yyyy")))
 
 
-def _day_number(m: Column) -> Column:
-    return F.datediff(_day(m), F.lit("1900-01-01").cast("date"))
+def is_date(m: Column) -> Column:
+    """Real days of 1900 to 2099."""
+    return F.coalesce(F.year(_day(m)).between(1900, 2099), F.lit(False))
 
 
-def is_date(m: Column) -> Column:
-    """Real days of 1900 to 2099, which are 17 * 4297."""
-    return F.coalesce(_day_number(m).between(0, 17 * 4297 - 1), F.lit(False))
+def _new_day(day: Column, key: str) -> Column:
+    """The first 12 days of the 2,400 months are permuted among themselves, and the others among themselves.
+
+    The others are among 2,400 times 19 places, of which few are no days; from
+    such a place the permutation goes on to the next (after 24 moves the day
+    would stay, with a probability below 1e-30).
+    """
+    month = (F.year(day) - 1900) * 12 + F.month(day) - 1
+    date = lambda mm, d: F.make_date((F.floor(mm / 12) + 1900).cast("int"), (mm % 12 + 1).cast("int"), d.cast("int"))
+    days = lambda mm: F.dayofmonth(F.last_day(date(mm, F.lit(1))))
+    early = permuted(month * 12 + F.dayofmonth(day) - 1, 2400, 12, key, "date-early")
+
+    def walk(s: Column, _: Column) -> Column:
+        def looked(n: Column) -> Column:
+            return F.struct(n.alias("n"), (F.pmod(n, F.lit(19)) + 13 <= days(F.floor(n / 19))).alias("done"))
+
+        # a lambda's argument is made once
+        return F.when(s["done"], s).otherwise(F.transform(F.array(permuted(s["n"], 2400, 19, key, "date-late")), looked)[0])
+
+    start = F.struct((month * 19 + F.dayofmonth(day) - 13).cast("long").alias("n"), F.lit(False).alias("done"))
+    late = F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, walk, lambda s: F.when(s["done"], s["n"]))
+    late = F.coalesce(date(F.floor(late / 19), F.pmod(late, F.lit(19)) + 13), day)
+    return F.when(F.dayofmonth(day) <= 12, date(F.floor(early / 12), F.pmod(early, F.lit(12)) + 1)).otherwise(late)
 
 
 def new_date(m: Column, key: str) -> Column:
-    day = F.date_add(F.lit("1900-01-01").cast("date"), permuted(_day_number(m), 17, 4297, key, "date").cast("int"))
     month_first = F.try_to_timestamp(m, F.lit("MM/dd/yyyy")).isNotNull()
-    return F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(m.contains("."), F.date_format(day, "dd.MM.yyyy")).when(month_first, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+    form = lambda day: F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(m.contains("."), F.date_format(day, "dd.MM.yyyy")).when(month_first, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+    return F.transform(F.array(_new_day(_day(m), key)), form)[0]
 
 
 def new_email(m: Column, key: str) -> Column:
-    """The local part is permuted by class, the domain stays."""
-    return F.concat(respelled(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    """Local part and host are permuted by class, each on its own; the last label of the host stays."""
+    host = F.substring_index(m, "@", -1)
+    top = F.substring_index(host, ".", -1)
+    inner = F.substring(host, F.lit(1), F.length(host) - F.length(top) - 1)
+    return F.concat(respelled(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), respelled(inner, key, "host"), F.lit("."), top)
 
 
 def new_secret(m: Column, key: str) -> Column:

@@ -92,3 +92,39 @@ def test_valid_numbers_beside_other_groups(spark):
         assert all(m.value in got[i].text for m in got[i].pii)
         assert all((m.kind != "card" or luhn(m.value)) and (m.kind != "iban" or iban(m.value)) for m in got[i].pii)
     assert got[0].text.endswith(" 123") and got[2].text.startswith("12 ") and got[8].text.endswith(" EUR") and got[10].text.endswith(" BIC")
+
+
+def notations(column, *made):
+    return F.concat_ws(" ; ", *made).alias(column)
+
+
+def test_every_date_in_every_notation(spark):
+    """All dates of 200 years, by brute force: one pseudonym a date in all notations, none twice, and every notation stays what it was."""
+    import datetime
+
+    forms = {"yyyy-MM-dd": "%Y-%m-%d", "dd.MM.yyyy": "%d.%m.%Y", "MM/dd/yyyy": "%m/%d/%Y", "dd/MM/yyyy": "%d/%m/%Y"}
+    days = spark.range(73_049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    rows = pii.pseudonymise(days.select("day", notations("text", *[F.date_format("day", f) for f in forms])), "k").select("day", F.split("text", " ; ").alias("own")).collect()
+    for k in range(4):
+        assert len({r.own[k] for r in rows}) == len(rows)
+    for r in rows:
+        read = [datetime.datetime.strptime(x, f).date() for x, f in zip(r.own[:3], forms.values())]
+        assert len(set(read)) == 1 and (read[0].day > 12) == (r.day.day > 12)
+        if r.day.day > 12:
+            assert datetime.datetime.strptime(r.own[3], "%d/%m/%Y").date() == read[0]
+
+
+def test_telephone_numbers_in_every_notation(spark):
+    area, line = ((F.col("id") * 7919) % 800 + 200).cast("string"), F.lpad((F.col("id") % 10_000).cast("string"), 4, "0")
+    marks = (("+1", "", ""), ("+1 (", ") ", "-"), ("", "-", "-"), ("(", ") ", "-"), ("1-", "-", "-"), ("+1.", ".", "."))
+    rows = spark.range(20_000).select(notations("text", *[F.concat(F.lit(a), area, F.lit(b), F.lit("555"), F.lit(c), line) for a, b, c in marks]))
+    found = [[re.sub(r"\D", "", x)[-10:] for x in r.own] for r in pii.pseudonymise(rows, "k").select(F.split("text", " ; ").alias("own")).collect()]
+    assert all(len(set(x)) == 1 and re.fullmatch("[2-9][0-9]{2}[2-9][0-9]{6}", x[0]) for x in found) and len({x[0] for x in found}) == 20_000
+    other = spark.range(10_000).select(F.concat(F.lit("(0"), F.lpad((F.col("id") % 100).cast("string"), 2, "0"), F.lit(") 155-"), line).alias("text"))
+    found = [r.text for r in pii.pseudonymise(other, "k").collect()]
+    assert len(set(found)) == 10_000 and all(re.fullmatch(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", x) and (x[1] in "01" or x[6] in "01") for x in found)
+
+
+def test_hosts_of_addresses_are_linked_too(spark):
+    a, b = (m.value for m in pii.pseudonymise(docs(spark, [(1, "ann@lee.example.org and bob@lee.example.org")]), "k").first().pii)
+    assert a.split("@")[1] == b.split("@")[1] != "lee.example.org" and a.endswith(".org")
