@@ -10,6 +10,8 @@ month/day/year, and each notation has as many pseudonyms as dates.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def _hash(key: str, kind: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), *parts), 512)
 
 
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with the value made once: a lambda's argument, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def permuted(n: Column, a: int, b: int, key: str, kind: str) -> Column:
     """A keyed permutation of 0 .. a * b - 1: quotient and remainder by ``b`` take turns to move by a hash of the other."""
 
@@ -77,8 +84,7 @@ def respelled(text: Column, key: str, kind: str) -> Column:
 
             return F.array_join(F.transform(F.split(half, ""), one), "")
 
-        # a lambda's argument is made once, not for every character
-        return F.transform(F.array(made), all_)[0]
+        return _bound(made, all_)
 
     def turn(s: Column, i: Column) -> Column:
         return F.struct(F.when(i % 2 == 0, moved(s["l"], s["r"], i)).otherwise(s["l"]).alias("l"), F.when(i % 2 == 1, moved(s["r"], s["l"], i)).otherwise(s["r"]).alias("r"))
@@ -227,13 +233,12 @@ def new_nanp(m: Column, key: str) -> Column:
     ten = F.substring(flat, -10, 10)
     area, exchange, line = (F.substring(ten, k, n).cast("long") for k, n in ((1, 3), (4, 3), (7, 4)))
     usual = (area >= 200) & (exchange >= 200)
-    inside = permuted(((area - 200) * 800 + exchange - 200) * 10_000 + line, 80_000, 80_000, key, "nanp")
-    inside = ((F.floor(inside / 8_000_000) + 200) * 1000 + F.pmod(F.floor(inside / 10_000), F.lit(800)) + 200) * 10_000 + F.pmod(inside, F.lit(10_000))
+    inside = lambda n: ((F.floor(n / 8_000_000) + 200) * 1000 + F.pmod(F.floor(n / 10_000), F.lit(800)) + 200) * 10_000 + F.pmod(n, F.lit(10_000))
+    inside = _bound(permuted(((area - 200) * 800 + exchange - 200) * 10_000 + line, 80_000, 80_000, key, "nanp"), inside)
     # others: areas below 200 with all exchanges, then the other areas with exchanges below 200
     at = F.when(area < 200, (area * 1000 + exchange) * 10_000 + line).otherwise(2_000_000_000 + ((area - 200) * 200 + exchange) * 10_000 + line)
-    moved = permuted(at, 60_000, 60_000, key, "nanp-other")
-    rest = moved - 2_000_000_000
-    outside = F.when(moved < 2_000_000_000, moved).otherwise(((F.floor(rest / 2_000_000) + 200) * 1000 + F.pmod(F.floor(rest / 10_000), F.lit(200))) * 10_000 + F.pmod(rest, F.lit(10_000)))
+    rest = lambda n: ((F.floor(n / 2_000_000) + 200) * 1000 + F.pmod(F.floor(n / 10_000), F.lit(200))) * 10_000 + F.pmod(n, F.lit(10_000))
+    outside = _bound(permuted(at, 60_000, 60_000, key, "nanp-other"), lambda n: F.when(n < 2_000_000_000, n).otherwise(rest(n - 2_000_000_000)))
     new = F.when(usual, inside).otherwise(outside)
     return poured(m, F.concat(F.substring(flat, F.lit(1), F.length(flat) - 10), F.lpad(new.cast("string"), 10, "0")))
 
@@ -269,25 +274,21 @@ def _new_day(day: Column, key: str) -> Column:
     month = (F.year(day) - 1900) * 12 + F.month(day) - 1
     date = lambda mm, d: F.make_date((F.floor(mm / 12) + 1900).cast("int"), (mm % 12 + 1).cast("int"), d.cast("int"))
     days = lambda mm: F.dayofmonth(F.last_day(date(mm, F.lit(1))))
-    early = permuted(month * 12 + F.dayofmonth(day) - 1, 2400, 12, key, "date-early")
+    early = _bound(permuted(month * 12 + F.dayofmonth(day) - 1, 2400, 12, key, "date-early"), lambda n: date(F.floor(n / 12), F.pmod(n, F.lit(12)) + 1))
+    there = lambda n: F.pmod(n, F.lit(19)) + 13 <= days(F.floor(n / 19))
 
     def walk(s: Column, _: Column) -> Column:
-        def looked(n: Column) -> Column:
-            return F.struct(n.alias("n"), (F.pmod(n, F.lit(19)) + 13 <= days(F.floor(n / 19))).alias("done"))
-
-        # a lambda's argument is made once
-        return F.when(s["done"], s).otherwise(F.transform(F.array(permuted(s["n"], 2400, 19, key, "date-late")), looked)[0])
+        return F.when(s["done"], s).otherwise(_bound(permuted(s["n"], 2400, 19, key, "date-late"), lambda n: F.struct(n.alias("n"), there(n).alias("done"))))
 
     start = F.struct((month * 19 + F.dayofmonth(day) - 13).cast("long").alias("n"), F.lit(False).alias("done"))
-    late = F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, walk, lambda s: F.when(s["done"], s["n"]))
-    late = F.coalesce(date(F.floor(late / 19), F.pmod(late, F.lit(19)) + 13), day)
-    return F.when(F.dayofmonth(day) <= 12, date(F.floor(early / 12), F.pmod(early, F.lit(12)) + 1)).otherwise(late)
+    late = F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, walk, lambda s: F.when(s["done"], date(F.floor(s["n"] / 19), F.pmod(s["n"], F.lit(19)) + 13)))
+    return F.when(F.dayofmonth(day) <= 12, early).otherwise(F.coalesce(late, day))
 
 
 def new_date(m: Column, key: str) -> Column:
     month_first = F.try_to_timestamp(m, F.lit("MM/dd/yyyy")).isNotNull()
     form = lambda day: F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(m.contains("."), F.date_format(day, "dd.MM.yyyy")).when(month_first, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy"))
-    return F.transform(F.array(_new_day(_day(m), key)), form)[0]
+    return _bound(_bound(_day(m), lambda day: _new_day(day, key)), form)
 
 
 def new_email(m: Column, key: str) -> Column:
@@ -331,6 +332,12 @@ def replacements(text: Column, key: str) -> Column:
     return F.when(text.rlike(GATE), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), one))
 
 
+@lru_cache(maxsize=16)
+def _found(_, text: str, key: str) -> Column:
+    """The replacements in a column; the expression is large, so one context makes it once."""
+    return F.coalesce(replacements(F.col(text), key), F.array().cast("array<array<struct<kind:string,value:string>>>"))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with the column ``text`` pseudonymised and ``pii array<struct<kind, value>>`` of the values put in.
 
@@ -344,7 +351,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     shuffled.
     """
     column = F.col(text)
-    found = docs.withColumn("pii", F.coalesce(replacements(column, key), F.array().cast("array<array<struct<kind:string,value:string>>>")))
+    found = docs.withColumn("pii", _found(docs.sparkSession.sparkContext, text, key))
     pieces = F.zip_with(F.split(column, ANY), F.col("pii"), lambda p, m: F.concat(p, F.coalesce(F.array_join(F.transform(m, lambda x: x["value"]), ""), F.lit(""))))
     done = found.withColumn(text, F.when(F.size("pii") > 0, F.array_join(pieces, "")).otherwise(column))
     return done.withColumn("pii", F.filter(F.flatten("pii"), lambda m: m["kind"].isNotNull()))
