@@ -1,4 +1,9 @@
-"""Document fingerprints: a sketch of every shingle hash below a fixed fraction of the range."""
+"""Document fingerprints: a sketch of every shingle hash below a fixed fraction of the range.
+
+Half of the range is kept, in 32 bits a hash, so that a text of a dozen
+shingles still has some in common with any longer text that holds it: with n
+shingles all of them lie above with a probability of 2^-n only.
+"""
 
 from __future__ import annotations
 
@@ -14,14 +19,23 @@ from pyspark.sql import functions as F
 from ._text import in_groups, shingles
 from .shared import spread
 
-WIDTH, SCALE = 5, 16
+WIDTH, SCALE = 5, 2
 _CHARS = 1 << 19
+#: What a row counts for beside its characters, so that runs of empty texts are bounded too.
+_ROW = 64
 
 
 def sketch(hashes: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """Hashes below 2^64 / scale; where none is, the least one, so that short texts keep a print."""
-    kept = hashes[hashes < np.uint64((1 << 64) // scale - 1)]
-    return kept if len(kept) else hashes[:1]
+    """Of sorted 64-bit hashes the first 32 bits of those below 2^64 / scale, each once; where none is, of the least one, so that equal texts keep equal prints.
+
+    A least hash above the fraction is no member of any other sketch, so such a
+    text is like its equals only.
+    """
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    kept = high[: np.searchsorted(hashes, np.uint64((1 << 64) // scale - 1))]
+    if not len(kept):
+        return high[:1]
+    return kept[np.append(True, kept[1:] != kept[:-1])]
 
 
 def sketches(texts: list[str | None], width: int = WIDTH, scale: int = SCALE) -> list[np.ndarray]:
@@ -29,17 +43,19 @@ def sketches(texts: list[str | None], width: int = WIDTH, scale: int = SCALE) ->
 
 
 def write(print_: np.ndarray) -> str:
-    """A sketch as text: base64 of its sorted hashes as little-endian 64-bit integers."""
-    return base64.b64encode(print_.astype("<u8").tobytes()).decode()
+    """A sketch as text: base64 of its sorted hashes as little-endian 32-bit integers."""
+    return base64.b64encode(print_.astype("<u4").tobytes()).decode()
 
 
 def read(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), "<u8").astype(np.uint64)
+    return np.frombuffer(base64.b64decode(text), "<u4").astype(np.uint32)
 
 
 def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """The sketch of two documents together."""
-    return sketch(np.union1d(a, b), scale)
+    """The sketch of two documents together: of one least hash above the fraction nothing is left beside a true sketch."""
+    both = np.union1d(a, b)
+    kept = both[both < (1 << 32) // scale]
+    return kept if len(kept) else both[:1]
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
@@ -62,7 +78,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, scale: int = SCALE) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s, e in in_groups([len(t) for t in texts], _CHARS):
+            for s, e in in_groups([len(t) + _ROW for t in texts], _CHARS):
                 prints = sketches(texts[s:e], width, scale)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array([len(t) for t in texts[s:e]], pa.int64()), pa.array([len(p) for p in prints], pa.int64()), pa.array([write(p) for p in prints])], ["doc_id", "n_chars", "n_kept", "fingerprint"])
 
@@ -156,7 +172,7 @@ def edited_fingerprints(docs: DataFrame, width: int = WIDTH, scale: int = SCALE)
                 if held and not own and held[-1][0] == part and not held[-1][1]:
                     continue  # of several heads with one doc_id the least text counts
                 held.append((part, own, doc_id, text or ""))
-                size += len(text or "")
+                size += len(text or "") + _ROW
                 if size > _CHARS:
                     yield from close(False)
         yield from close(True)
