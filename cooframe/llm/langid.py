@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ._text import in_groups
 
 DIMENSIONS = 1024
-#: Documents that the profiles are learned from, in expectation.
-SAMPLE = 8192
+#: Documents of each language that its profile is learned from, in expectation; of a language with fewer, all.
+SAMPLE = 2048
 UNKNOWN = "und"
 _CHARS = 1 << 19
 _letters: list[np.ndarray] = []
@@ -32,8 +32,8 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters in use, the trigrams (three places among them, a column each) and their counts by text.
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters in use, the trigrams (three places among them, a column each), and each occurrence's trigram and text.
 
     Letters are lower-cased; all else is an edge. Trigrams are centred on a
     letter, so none reaches from one text into another.
@@ -44,7 +44,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded = np.concatenate([[0], symbols, [0]])
     at = np.flatnonzero(symbols)
     if not len(at):
-        return np.empty(0, np.uint32), np.empty((3, 0), np.int64), np.zeros((len(texts), 0), np.float32)
+        return np.empty(0, np.uint32), np.empty((3, 0), np.int64), at, at
     seen = np.zeros(0x110000, bool)
     seen[symbols] = True
     seen[0] = True
@@ -63,21 +63,31 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         column = column[code]
     else:
         kinds, column = np.unique(code, return_inverse=True)
-    counts = np.bincount(text * len(kinds) + column, minlength=len(texts) * len(kinds)).reshape(len(texts), len(kinds)).astype(np.float32)
-    return used, np.stack([kinds // (n * n), kinds // n % n, kinds % n]), counts
+    return used, np.stack([kinds // (n * n), kinds // n % n, kinds % n]), column, text
 
 
 def bundles(texts: list[str]) -> np.ndarray:
-    """One vector for each text: the sum of its trigrams' vectors, each the product of three letter vectors turned by 2, 1 and 0 places."""
-    used, kinds, counts = trigrams(texts)
+    """One vector for each text: the sum of its trigrams' vectors, each the product of three letter vectors turned by 2, 1 and 0 places.
+
+    Texts are counted by trigrams a slice of 4,096 trigrams at a time, so many
+    different letters cost time and no memory.
+    """
+    used, kinds, column, text = trigrams(texts)
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     if not len(used):
         return out
     plain = np.stack([letter_vector(int(c)) for c in used])
     one, two = np.roll(plain, 1, axis=1), np.roll(plain, 2, axis=1)
-    for s in range(0, kinds.shape[1], 4096):
-        a, b, c = kinds[:, s : s + 4096]
-        out += counts[:, s : s + 4096] @ (two[a] * one[b] * plain[c]).astype(np.float32)
+    slices = -(-kinds.shape[1] // 4096)
+    if slices > 1:
+        order = np.argsort(column >> 12, kind="stable")
+        column, text = column[order], text[order]
+    ends = np.searchsorted(column >> 12, np.arange(slices + 1)) if slices > 1 else [0, len(column)]
+    for k in range(slices):
+        a, b, c = kinds[:, k * 4096 : (k + 1) * 4096]
+        cell = text[ends[k] : ends[k + 1]] * len(a) + column[ends[k] : ends[k + 1]] - k * 4096
+        counts = np.bincount(cell, minlength=len(texts) * len(a)).reshape(len(texts), len(a)).astype(np.float32)
+        out += counts @ (two[a] * one[b] * plain[c]).astype(np.float32)
     return out
 
 
@@ -105,13 +115,15 @@ def fit(docs: DataFrame, eligible, sample: int = SAMPLE) -> dict[str, np.ndarray
     """Unit profile of each language: the sum of its documents' unit vectors.
 
     Learns from text and non-null lang of the rows of ``docs`` for which the
-    column ``eligible`` holds; from a share of them, chosen by a hash of
-    doc_id, of ``sample`` documents in expectation. No such row: no profile.
+    column ``eligible`` holds: of each language a share, chosen by a hash of
+    doc_id, of ``sample`` documents in expectation, so a language that is rare
+    has its profile at every size. No such row: no profile. Texts of any length
+    count as one vector of length 1; repeated rows count each.
     """
-    rows = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    count = rows.count()
-    if count > sample:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * sample / count))
+    rows = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    counts = rows.groupBy("lang").count().collect()  # a row for each language, as the profiles are
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], (1 << 30) * sample / r["count"]) for r in counts], "of string, bound double")
+    rows = rows.join(F.broadcast(bounds), F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.col("bound"))
     partial = rows.select("lang", "text").repartition(6).mapInArrow(_profiles, "lang string, v array<double>").collect()  # at most 6 rows a language
     total: dict[str, np.ndarray] = {}
     for r in sorted(partial, key=lambda r: (r["lang"], r["v"])):

@@ -42,6 +42,23 @@ def test_bundles_are_sums_of_bound_letters():
     assert np.array_equal(got[0], want) and np.array_equal(got[1], want) and not got[2:].any()
 
 
+def test_bundles_by_brute_force_with_many_letters():
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 200))) for _ in range(40)] + ["Ünd so, weiter"]
+    v = langid.letter_vector
+    for text, got in zip(texts, langid.bundles(texts)):
+        codes = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+        want = sum(np.roll(v(a), 2).astype(int) * np.roll(v(b), 1) * v(c) for a, b, c in zip(codes, codes[1:], codes[2:]) if b)
+        assert np.array_equal(got, want)
+
+
+def test_a_rare_language_has_its_profile(spark):
+    rows = [(k, "the cat and the dog", "en") for k in range(400)] + [(1000 + k, "der hund und die katze", "de") for k in range(5)]
+    profiles = langid.fit(docs(spark, rows), F.lit(True), sample=10)
+    got = {r.lang_pred for r in langid.predict(docs(spark, rows[-5:]), profiles).collect()}
+    assert set(profiles) == {"en", "de"} and got == {"de"}
+
+
 def test_quality_held_out(spark):
     got = {r.doc_id: r for r in queries.op5_quality_gam(spark, SF).collect()}
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
