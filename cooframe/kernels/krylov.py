@@ -357,3 +357,32 @@ def lobpcg(A: Apply, n: int, k: int, M: Apply | None = None, largest: bool = Tru
         p = p if p.shape[1] else None
         x = orthonormal(new)
     return values[:k], x[:, :k], maxiter, False
+
+
+def lanczos(matvec, n: int, k: int, pick, dtype=float, seed: int = 0, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues that ``pick`` chooses, with vectors, of a Hermitian operator; all steps stay orthogonal, and are more until the residuals are small."""
+    rng = np.random.default_rng(seed)
+    steps = min(n, 2 * k + 40)
+    while True:
+        q = np.zeros((n, steps + 1), np.result_type(dtype, float))
+        alpha, beta = np.zeros(steps), np.zeros(steps)
+        q[:, 0] = rng.standard_normal(n)
+        q[:, 0] /= np.linalg.norm(q[:, 0])
+        for j in range(steps):
+            w = matvec(q[:, j])
+            alpha[j] = np.real(np.vdot(q[:, j], w))
+            for _ in range(2):
+                w = w - q[:, : j + 1] @ (np.conj(q[:, : j + 1].T) @ w)
+            beta[j] = np.linalg.norm(w)
+            if beta[j] <= 1e-14 * max(1.0, abs(alpha[j])):  # an invariant space: go on in what is left
+                w, beta[j] = rng.standard_normal(n), 0.0
+                for _ in range(2):
+                    w = w - q[:, : j + 1] @ (np.conj(q[:, : j + 1].T) @ w)
+            q[:, j + 1] = w / max(np.linalg.norm(w), 1e-300)
+        values, s = np.linalg.eigh(np.diag(alpha) + np.diag(beta[:-1], 1) + np.diag(beta[:-1], -1))
+        at = pick(values)
+        if steps == n or np.all(np.abs(beta[-1] * s[-1, at]) <= tol * max(1e-300, np.abs(values).max())):
+            return values[at], q[:, :steps] @ s[:, at]
+        if steps >= min(n, 1500):
+            raise RuntimeError("Lanczos steps did not converge; take sigma")
+        steps = min(n, 2 * steps, 1500)

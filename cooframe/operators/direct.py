@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, drop
 from ..functions import complexes as C
-from ..kernels.sparse import Entries
+from ..kernels.sparse import Entries, direct, pieces, whole
 from ..kernels.sparse import solve as kernel_solve
 from ..matrix import Matrix, bind
 
@@ -96,7 +97,8 @@ def parts(name: str, x: np.ndarray, is_complex: bool) -> dict:
 def solve(a: Matrix, b: DataFrame, method: str = "auto", preconditioner: str | None = "none", **options) -> DataFrame:
     """``[keys,] i, [k,] v``: A x = b for each matrix, by one task each; ``b`` is [keys,] i, [k,] v.
 
-    lu, cholesky, ldlt are dense factorisations; cg, pipelined_cg, bicgstab,
+    lu, cholesky, ldlt are direct: dense up to 2,000 unknowns, beyond that by
+    blocks along the levels of the graph; cg, pipelined_cg, bicgstab,
     gmres, fgmres, minres iterate; lsqr and lsmr take rectangular matrices;
     amg is CG with multigrid. A method that does not converge fails. For one
     matrix beyond a task see ``krylov.solve_distributed``.
@@ -129,16 +131,56 @@ def solve_batch(a: Matrix, b: DataFrame, method: str = "auto", **options) -> Dat
 
 
 class Factorised:
-    """A matrix kept for many right sides: they are columns of one grouped solve, so each factor is made once for all of them."""
+    """A matrix with its factor, made once in one task for each matrix and kept as a table of a row for each piece.
+
+    Every solve reads the pieces and the right sides of a matrix together; no
+    solve factors again. ``drop`` deletes the table.
+    """
 
     def __init__(self, a: Matrix) -> None:
         self.a = a
+        self.keys = list(a.keys)
+        made = gathered(a, lambda e: pieces(direct(e)), "piece long, payload binary")
+        self.table = cut(made if self.keys else made.withColumn("_one", F.lit(0)))
+
+    def drop(self) -> None:
+        drop(self.table)
 
     def solve(self, b: DataFrame) -> DataFrame:
-        return solve(self.a, b, "lu")
+        return self._solve(b, False)
 
     def solve_transpose(self, b: DataFrame) -> DataFrame:
-        return solve(self.a.T, b, "lu")
+        return self._solve(b, True)
+
+    def _solve(self, b: DataFrame, transposed: bool) -> DataFrame:
+        import pandas as pd
+
+        a, keys = self.a, self.keys
+        if keys and not set(keys) <= set(b.columns):
+            raise ValueError(f"right sides name their matrix by {keys}")
+        is_complex = a.is_complex or b.schema["v"].dataType.simpleString().startswith("struct")
+        v = (F.col("v.re"), F.col("v.im")) if b.schema["v"].dataType.simpleString().startswith("struct") else (F.col("v").cast("double"), F.lit(0.0))
+        many = "k" in b.columns
+        side = b.select(*keys, F.col("i").cast("long").alias("i"), (F.col("k") if many else F.lit(0)).cast("long").alias("k"), v[0].alias("re"), v[1].alias("im"))
+        by = keys or ["_one"]
+        side = side if keys else side.withColumn("_one", F.lit(0))
+
+        def task(factor, frame):
+            if not len(factor) or not len(frame):
+                return pd.DataFrame({**{x: pd.Series(dtype="int64") for x in (*keys, "i", "k")}, "re": pd.Series(dtype=float), "im": pd.Series(dtype=float)})
+            own = whole(factor.sort_values("piece")["payload"].tolist())
+            names, at = np.unique(frame["k"].to_numpy(), return_inverse=True)
+            val = frame["re"].to_numpy() + (1j * frame["im"].to_numpy() if is_complex else 0)
+            flat = np.zeros((own.m, len(names)), val.dtype)
+            np.add.at(flat, (frame["i"].to_numpy(), at), val)
+            x = own.solve(flat, transposed)
+            i, j = np.indices(x.shape)
+            out = {x_: int(factor[x_].iloc[0]) for x_ in keys} | {"i": i.ravel(), "k": names[j.ravel()], "re": x.real.ravel(), "im": np.imag(x).ravel()}
+            return pd.DataFrame(out)
+
+        schema = "".join(f"{x} long, " for x in keys) + "i long, k long, re double, im double"
+        found = self.table.groupBy(*by).cogroup(side.groupBy(*by)).applyInPandas(task, schema)
+        return found.select(*keys, "i", *(["k"] if many else []), (C.of(F.col("re"), F.col("im")) if is_complex else F.col("re")).alias("v"))
 
     def solve_chunks(self, chunks: Iterator[DataFrame]) -> Iterator[DataFrame]:
         for b in chunks:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import Matrix, bind
 from .direct import gathered, solve
-from .products import matmul
+from .products import matmul_at
 
 
 def at_pattern(a: Matrix, left: DataFrame, right: DataFrame, sign: float = 1.0) -> DataFrame:
@@ -33,8 +33,8 @@ def solve_vjp(a: Matrix, b: DataFrame, g: DataFrame, method: str = "auto") -> tu
 
 def matmul_vjp(a: Matrix, b: Matrix, g: Matrix) -> tuple[DataFrame, DataFrame]:
     """For C = A B: G B^T at A's places and A^T G at B's."""
-    left, right = matmul(g, b.T), matmul(a.T, g)
-    return left.gather_at(a.coalesce().df.select(*a.keys, "row", "col")), right.gather_at(b.coalesce().df.select(*b.keys, "row", "col"))
+    at = lambda m: m.coalesce().df.select(*m.keys, "row", "col")
+    return matmul_at(g, b.T, at(a), by="right"), matmul_at(a.T, g, at(b), by="left")
 
 
 def sum_vjp(a: Matrix, axis: int, g: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import cut, drop
 from ..matrix import Matrix, bind
 
 
@@ -23,14 +23,31 @@ def component_roots(edges: DataFrame, nodes: DataFrame, rounds: int = 80) -> Dat
         hook = parent.join(near, "node").groupBy("root").agg(F.min("_near").alias("_to"))
         hooked = parent.join(hook, "root", "left").select("node", F.least("root", F.coalesce("_to", "root")).alias("root"))
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        parent = cut(hooked.join(jump, "root").select("node", F.col("_up").alias("root")))
+        old, parent = parent, cut(hooked.join(jump, "root").select("node", F.col("_up").alias("root")))
+        drop(old)
         state = parent.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if state == before:
+            drop(both)
             return parent
         before = state
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` with its rows numbered from 0 in the order of the distinct values ``by``, part by part of a range exchange.
+
+    Only the number of rows of each part goes to the driver.
+    """
+    parts = cut(df.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id()))
+    base, at = [], 0
+    for p, n in sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect()):
+        base.append((p, at))
+        at += n
+    first = F.broadcast(parts.sparkSession.createDataFrame(base, "_part int, _base long"))  # a row for each part
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
+    return parts.withColumn("_place", place).join(first, "_part").withColumn(name, (F.col("_base") + F.col("_place")).cast("long")).drop("_part", "_place", "_base")
+
+
 def connected_components(a: Matrix) -> DataFrame:
     """``i, label``: components numbered in the order of their least nodes; a batch shares one pattern, so one labelling."""
     if not a.is_square:
@@ -40,8 +57,7 @@ def connected_components(a: Matrix) -> DataFrame:
         raise ValueError("take the components of one matrix of a list at a time")
     nodes = a.spark.range(a.m).select(F.col("id").alias("i"))
     roots = component_roots(edges, nodes)
-    # roots are ranked among themselves: a row for each component
-    ranks = roots.where("node = root").select("root", (F.row_number().over(Window.orderBy("root")) - 1).cast("long").alias("label"))
+    ranks = ranked(roots.where("node = root").select("root"), "root", "label")
     return roots.join(ranks, "root").select(F.col("node").alias("i"), "label")
 
 

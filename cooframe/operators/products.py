@@ -101,6 +101,27 @@ def gather_at(a: Matrix, places: DataFrame) -> DataFrame:
     return places.join(own, [*a.keys, "row", "col"], "left").withColumn("v", F.coalesce("v", zero))
 
 
+def matmul_at(a: Matrix, b: Matrix, places: DataFrame, by: str = "right") -> DataFrame:
+    """``places`` ([keys,] row, col, each once) with ``v``: the product A B there and nowhere else.
+
+    Each place meets the entries of B in its column (``by`` right) or of A in
+    its row (left), and looks up the other factor: the work is that of a
+    product with the pattern, however many entries the other factor has.
+    """
+    on = [k for k in a.keys if k in b.keys]
+    x = a.coalesce().df.select(*a.keys, "row", F.col("col").alias("_k"), F.col("val").alias("_a"))
+    y = b.coalesce().df.select(*on, F.col("row").alias("_k"), "col", F.col("val").alias("_b"))
+    keys = [*a.keys, "row", "col"]
+    wide = places.join(y, [*on, "col"]).join(x, [*a.keys, "row", "_k"]) if by == "right" else places.join(x, [*a.keys, "row"]).join(y, [*on, "_k", "col"])
+    cplx = a.is_complex or b.is_complex
+    p, q = F.col("_a"), F.col("_b")
+    if cplx:
+        p, q = (p if a.is_complex else C.of(p)), (q if b.is_complex else C.of(q))
+    found = wide.groupBy(*keys).agg((C.total(C.mul(p, q)) if cplx else F.sum(p * q)).alias("v"))
+    zero = C.of(0.0, 0.0) if cplx else F.lit(0.0)
+    return places.join(found, keys, "left").withColumn("v", F.coalesce("v", zero))
+
+
 def lower(a: Matrix, strict: bool = True) -> Matrix:
     return a.derived(a.df.where("row > col" if strict else "row >= col"))
 
@@ -132,4 +153,4 @@ def __rmatmul__(a: Matrix, x: DataFrame):
     return rmatvec(a, x)
 
 
-bind(matvec, rmatvec, matmul, gram, kron, gather_at, lower, upper, plus, __matmul__, __rmatmul__)
+bind(matvec, rmatvec, matmul, matmul_at, gram, kron, gather_at, lower, upper, plus, __matmul__, __rmatmul__)
