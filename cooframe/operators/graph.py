@@ -33,18 +33,19 @@ def component_roots(edges: DataFrame, nodes: DataFrame, rounds: int = 80) -> Dat
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
+def ranked(df: DataFrame, by: str | list[str], name: str) -> DataFrame:
     """``df`` with its rows numbered from 0 in the order of the distinct values ``by``, part by part of a range exchange.
 
     Only the number of rows of each part goes to the driver.
     """
-    parts = cut(df.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id()))
+    by = [by] if isinstance(by, str) else by
+    parts = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()))
     base, at = [], 0
     for p, n in sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect()):
         base.append((p, at))
         at += n
     first = F.broadcast(parts.sparkSession.createDataFrame(base, "_part int, _base long"))  # a row for each part
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
     return parts.withColumn("_place", place).join(first, "_part").withColumn(name, (F.col("_base") + F.col("_place")).cast("long")).drop("_part", "_place", "_base")
 
 

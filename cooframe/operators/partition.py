@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..matrix import Matrix, bind
+from .graph import ranked
 
 
 def partition_simple(nodes: DataFrame, n: int, parts: int) -> DataFrame:
@@ -18,27 +19,15 @@ def partition_simple(nodes: DataFrame, n: int, parts: int) -> DataFrame:
 
 
 def partition_slices(coords: DataFrame, parts: int, axis: str = "x") -> DataFrame:
-    """Equal counts along one axis, ties by node; ranks come from per-bucket counts, not from one sorted task."""
+    """Equal counts along one axis, ties by node; ranks come from counts of ranges, not from one sorted task."""
     return _by_rank(coords.withColumn("_v", F.col(axis).cast("double")), parts)
 
 
 def _by_rank(df: DataFrame, parts: int) -> DataFrame:
-    """Slices of ``df`` (node, _v) in the order of (_v, node), counted over value ranges that Spark's quantiles cut."""
-    bounds = sorted(set(df.approxQuantile("_v", [k / 64 for k in range(1, 64)], 0.001)))
-    cell = F.lit(0)
-    for b in bounds:
-        cell = cell + (F.col("_v") >= b).cast("int")
-    df = cut(df.select("node", "_v", cell.alias("_cell")))
-    counts = {r["_cell"]: r["count"] for r in df.groupBy("_cell").count().collect()}  # 64 rows at most
-    at, starts = 0, []
-    for k in sorted(counts):
-        starts += [F.lit(k), F.lit(at)]
-        at += counts[k]
-    size = max(1, -(-at // parts))
-    if not starts:
-        return df.select("node", F.lit(0).alias("part_id"))
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_v", "node")) - 1 + F.element_at(F.create_map(*starts), F.col("_cell"))
-    return df.select("node", F.least(F.floor(rank / size), F.lit(parts - 1)).cast("int").alias("part_id"))
+    """Slices of ``df`` (node, _v) in the order of (_v, node), by ranges of both, so equal values may lie in several ranges."""
+    df = cut(df.select("node", "_v"))
+    size = max(1, -(-df.count() // parts))
+    return ranked(df, ["_v", "node"], "_rank").select("node", F.least(F.floor(F.col("_rank") / size), F.lit(parts - 1)).cast("int").alias("part_id"))
 
 
 def partition_rcb(coords: DataFrame, parts: int, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:

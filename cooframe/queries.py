@@ -90,9 +90,11 @@ def matrix_chain(spark, d):
     return rounded(products.chain([a, a.T], balances(spark, d)))
 
 
-@query(f"WITH {S} SELECT s_suppkey AS row, p_partkey AS col, coalesce(v, 0) AS v FROM supplier CROSS JOIN part LEFT JOIN S ON r = s_suppkey AND c = p_partkey WHERE p_partkey < 20")
+@query(f"WITH {S}, Q AS (SELECT l_suppkey AS i, (l_partkey + l_linenumber) % (SELECT count(*) FROM part) AS j FROM lineitem) SELECT i AS row, j AS col, coalesce(v, 0) AS v FROM Q LEFT JOIN S ON r = i AND c = j")
 def gather_at(spark, d):
-    places = spark.range(table(spark, d, "supplier").count()).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("col"))
+    """For each line item the part a few numbers on, from the same supplier."""
+    n = table(spark, d, "part").count()
+    places = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("row"), ((F.col("l_partkey") + F.col("l_linenumber")) % n).alias("col"))
     return sold(spark, d).gather_at(places)
 
 
@@ -315,19 +317,24 @@ def split_blocks(spark, d):
     return rounded(Matrix.from_block_diagonal(a.to_block_diagonal(), sizes).df, name="val")
 
 
-@query("WITH E AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 32) SELECT vec_id * 2 + (k - 1) // 32 AS row, (k - 1) % 32 AS col, embedding[k]::DOUBLE AS val FROM E, range(1, 65) t(k)")
+@query("SELECT vec_id * 2 + (k - 1) // 32 AS row, (k - 1) % 32 AS col, embedding[k]::DOUBLE AS val FROM embeddings, range(1, 65) t(k)")
 def block_flatten(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 32")
+    return _blocks(spark, d).flatten_blocks().df
+
+
+def _blocks(spark, d) -> Matrix:
+    """Every vector as a block of 2 by 32."""
+    e = table(spark, d, "embeddings")
     x = F.col("embedding").cast("array<double>")
     blocks = e.select(F.col("vec_id").alias("row"), F.lit(0).cast("long").alias("col"), F.array(F.slice(x, 1, 32), F.slice(x, 33, 32)).alias("val"))
-    return Matrix(blocks, 32, 1, block=(2, 32)).flatten_blocks().df
+    return Matrix(blocks, e.agg(F.max("vec_id")).first()[0] + 1, 1, block=(2, 32))
 
 
-@query("SELECT i // 2 AS row, j // 2 AS col, sum(CASE WHEN i % 2 = j % 2 THEN v ELSE 0 END) AS trace FROM (SELECT i::BIGINT AS i, j::BIGINT AS j, (i * 7 + j)::DOUBLE AS v FROM range(6) a(i), range(4) b(j)) GROUP BY 1, 2")
+@query("SELECT vec_id AS row, 0::BIGINT AS col, embedding[1]::DOUBLE AS a, embedding[32]::DOUBLE AS b, embedding[33]::DOUBLE AS c, embedding[64]::DOUBLE AS d FROM embeddings")
 def block_unflatten(spark, d):
-    cells = spark.range(24).select(F.floor(F.col("id") / 4).alias("row"), (F.col("id") % 4).alias("col"), (F.floor(F.col("id") / 4) * 7 + F.col("id") % 4).cast("double").alias("val"))
-    b = unflatten_blocks(Matrix(cells, 6, 4, coalesced=True), (2, 2))
-    return b.df.select("row", "col", (F.col("val")[0][0] + F.col("val")[1][1]).alias("trace"))
+    """Vectors flattened and made blocks again: the corners of each."""
+    b = unflatten_blocks(_blocks(spark, d).flatten_blocks(), (2, 32))
+    return b.df.select("row", "col", *[F.col("val")[i][j].alias(x) for x, i, j in (("a", 0, 0), ("b", 0, 31), ("c", 1, 0), ("d", 1, 31))])
 
 
 @query("SELECT i AS row, len(c)::BIGINT AS n, list_sum(c)::BIGINT AS cols FROM (SELECT l_suppkey AS i, list(DISTINCT l_partkey) AS c FROM lineitem GROUP BY 1)")
@@ -528,21 +535,22 @@ def _scratch(spark) -> str:
 
 # -- graphs and partitions ---------------------------------------------------
 def _ties(spark, d) -> Matrix:
-    """Suppliers and parts as nodes, tied where one order took fifty at the highest discount."""
-    m, n = table(spark, d, "supplier").count(), table(spark, d, "part").count()
-    e = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount >= 0.095").select(F.col("l_suppkey").alias("row"), (F.col("l_partkey") + m).alias("col"), F.lit(1.0).alias("val"))
+    """Orders and the days that their line items left on, tied where an order had a line item of a day; orders by number, then days."""
+    li = table(spark, d, "lineitem")
+    m = table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    day = F.datediff("l_shipdate", F.lit("1992-01-01")).cast("long")
+    n = li.agg(F.max(day)).first()[0] + 1
+    e = li.select(F.col("l_orderkey").alias("row"), (day + m).alias("col"), F.lit(1.0).alias("val"))
     return Matrix(e, m + n, m + n)
 
 
-_TIES = "M AS (SELECT count(*) AS m FROM supplier), N AS (SELECT i FROM range((SELECT m FROM M) + (SELECT count(*) FROM part)) t(i)), E AS (SELECT l_suppkey AS a, l_partkey + m AS b FROM lineitem, M WHERE l_quantity = 50 AND l_discount >= 0.095), B AS (SELECT a, b FROM E UNION SELECT b, a FROM E), R AS (SELECT i, i AS root FROM N UNION SELECT B.b, R.root FROM R JOIN B ON B.a = R.i), L AS (SELECT i, min(root) AS root FROM R GROUP BY 1)"
-
-
-@query(f"WITH RECURSIVE {_TIES} SELECT i::BIGINT AS i, (dense_rank() OVER (ORDER BY root) - 1)::BIGINT AS label FROM L")
+@query()
 def connected_components(spark, d):
+    """Over all line items; recursive SQL on so many ties is too slow, a test holds it against brute force."""
     return _ties(spark, d).connected_components()
 
 
-@query(f"WITH RECURSIVE {_TIES}, C AS (SELECT root, count(*) AS n FROM L GROUP BY 1) SELECT n::BIGINT AS nodes, count(*)::BIGINT AS components FROM C GROUP BY 1")
+@query()
 def component_sizes(spark, d):
     return _ties(spark, d).to_connected_components().sizes.groupBy(F.col("m").alias("nodes")).agg(F.count("*").alias("components"))
 
@@ -864,3 +872,256 @@ def running_entries(spark, d):
     kinds = e.select("event_type").distinct().withColumn("k", (F.dense_rank().over(_by(None, "event_type")) - 1).cast("long"))
     df = running(e.join(kinds, "event_type"), "user_id", "k", "value")
     return df.agg(F.count("*").alias("entries"), F.round(F.sum("val"), 2).alias("total"))
+
+
+# -- more products and solves -------------------------------------------------
+@query("SELECT i::BIGINT AS i, round(sin(i), 6) + 0.0 AS v FROM range(10000) t(i)")
+def solve_sparse_lu(spark, d):
+    """A grid of 10,000 unknowns by the sparse factor."""
+    return _solved(spark, generators.laplacian_2d(spark, 100), 10_000, "lu")
+
+
+@query("SELECT i::BIGINT AS i, round(sin(i), 6) + 0.0 AS v FROM range(99856) t(i)")
+def solve_sparse_lu_100k(spark, d):
+    return _solved(spark, generators.laplacian_2d(spark, 316), 316 * 316, "lu")
+
+
+@query("SELECT g AS g, i::BIGINT AS i, round(sin(i + g), 6) + 0.0 AS v FROM range(2500) t(i), range(2) u(g)")
+def lu_repeated_solves(spark, d):
+    """One kept factor, a solve with it and one with its transpose."""
+    a = generators.kron_convection_2d(spark, 50)
+    lu = a.lu()
+    x = lambda g: spark.range(2500).select(F.col("id").alias("i"), F.sin(F.col("id") + g).alias("v"))
+    out = lu.solve(a.matvec(x(0))).withColumn("g", F.lit(0).cast("long")).unionByName(lu.solve_transpose(a.T.matvec(x(1))).withColumn("g", F.lit(1).cast("long")))
+    return rounded(out, 6)
+
+
+@query("WITH R AS (SELECT i::BIGINT AS i, 4 - 2 * cos((i + 1) * pi() / 129) AS a FROM range(128) t(i)) SELECT round(sum(ln(x.a - 2 * cos((y.i + 1) * pi() / 129))), 6) AS v FROM R x, R y")
+def logdet_16k(spark, d):
+    return rounded(generators.laplacian_2d(spark, 128).logdet(), 6)
+
+
+@query("SELECT k::BIGINT AS k, round(v, 8) AS lambda FROM (SELECT row_number() OVER (ORDER BY v) - 1 AS k, v FROM (SELECT 4 - 2 * cos((i + 1) * pi() / 64) - 2 * cos((j + 1) * pi() / 64) AS v FROM range(63) a(i), range(63) b(j))) WHERE k < 4")
+def eigsh_shift_invert(spark, d):
+    """The four least eigenvalues of a grid of 3,969 unknowns, nearest to 0 first."""
+    return rounded(generators.laplacian_2d(spark, 63).eigsh(4, sigma=0.0).select("k", "lambda"), 8, "lambda")
+
+
+def _distributed(name: str, method: str, general: bool):
+    def f(spark, d):
+        a = generators.stencil(spark, [150], 6.0, [((-1,), -2.0 if general else -1.0), ((1,), -1.0)])
+        options = {"atol": 1e-10, "btol": 1e-10} if method in ("lsqr", "lsmr") else {"rtol": 1e-10}
+        return rounded(solve_distributed(a, a.matvec(_wave(spark, 150)), method, "none" if method in ("lsqr", "lsmr") else "jacobi", **options).x, 5)
+
+    f.__name__ = name
+    query("SELECT i::BIGINT AS i, round(sin(i), 5) + 0.0 AS v FROM range(150) t(i)")(f)
+
+
+for _method, _general in (("bicgstab", True), ("gmres", True), ("minres", False), ("lsqr", True), ("lsmr", True)):
+    _distributed(f"{_method}_distributed", _method, _general)
+
+
+@query("SELECT round(sum(p_retailprice * p_size), 2) AS v FROM part")
+def vector_dot(spark, d):
+    return rounded(products.dot(prices(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_size").cast("double").alias("v"))))
+
+
+@query("SELECT round(sqrt(sum(p_retailprice * p_retailprice)), 4) AS v FROM part")
+def vector_norm(spark, d):
+    return rounded(products.vector_norm(prices(spark, d)), 4)
+
+
+@query(f"WITH {S} SELECT r AS row, c AS col, v AS val FROM S WHERE r <= c")
+def upper_triangle(spark, d):
+    return sold(spark, d).upper(strict=False).df
+
+
+@query(f"WITH {S} SELECT row, col, round(sum(v), 2) AS val FROM (SELECT r AS row, c AS col, v FROM S UNION ALL SELECT l_suppkey, (l_partkey + 1) % (SELECT count(*) FROM part), l_extendedprice FROM lineitem) GROUP BY 1, 2")
+def union_of_patterns(spark, d):
+    n = table(spark, d, "part").count()
+    b = table(spark, d, "lineitem").withColumn("next", (F.col("l_partkey") + 1) % n)
+    return rounded(sold(spark, d).plus(Matrix.of(b, "l_suppkey", "next", "l_extendedprice", table(spark, d, "supplier").count(), n)).df, name="val")
+
+
+@query("SELECT l_suppkey AS row, l_partkey AS col, round(sum(l_quantity) - sum(l_extendedprice), 2) AS val FROM lineitem GROUP BY 1, 2")
+def subtract(spark, d):
+    return rounded((+sold(spark, d) - sold(spark, d, "l_extendedprice")).df, name="val")
+
+
+@query("SELECT vec_id AS row, (k - 1)::BIGINT AS col, embedding[k]::DOUBLE AS val FROM embeddings, range(1, 65) t(k) WHERE embedding[k] <> 0")
+def from_dense_rows(spark, d):
+    e = table(spark, d, "embeddings")
+    return Matrix.from_dense_rows(e, "vec_id", "embedding", e.agg(F.max("vec_id")).first()[0] + 1, 64).df
+
+
+@query(f"WITH {_GRAPH} SELECT r AS row, c AS col, v AS val FROM W WHERE v <> 0")
+def dense_round_trip(spark, d):
+    """Through an array on the driver: 25 nations."""
+    return Matrix.from_dense(spark, _graph(spark, d).to_numpy()).df
+
+
+@query("SELECT n_nationkey::BIGINT AS row, n_regionkey::BIGINT AS col, (1.0 + n_nationkey)::DOUBLE AS re, (-1.0 * n_regionkey)::DOUBLE + 0.0 AS im FROM nation")
+def conjugate(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("row"), F.col("n_nationkey").cast("long").alias("col"), F.struct((1.0 + F.col("n_nationkey")).alias("re"), F.col("n_regionkey").cast("double").alias("im")).alias("val"))
+    return Matrix(n, 5, 25, coalesced=True).H.df.select("row", "col", F.col("val.re").alias("re"), (F.col("val.im") + 0.0).alias("im"))
+
+
+@query("SELECT i::BIGINT AS row, i::BIGINT AS col, 1.0::DOUBLE AS val FROM range((SELECT count(*) FROM part)) t(i)")
+def identity(spark, d):
+    return generators.eye(spark, table(spark, d, "part").count()).df
+
+
+@query(f"WITH {S} SELECT s_suppkey AS i, coalesce(v, 0) AS v FROM supplier LEFT JOIN (SELECT r, sum(abs(v - 30)) AS v FROM S GROUP BY 1) ON r = s_suppkey")
+def absolute_row_sums(spark, d):
+    return (sold(spark, d) - 30.0).abs_axis_sum(1)
+
+
+@query(f"WITH {_GRAPH} SELECT r::BIGINT AS row, c::BIGINT AS col, v AS val FROM W WHERE r // 7 = 1")
+def partition_one(spark, d):
+    """One part's rows in local numbers, and back in those of the whole."""
+    a = _graph(spark, d)
+    nodes = cut(a.local_numbers(a.resolve_partition(4, "simple")))
+    own = nodes.where("part_id = 1")
+    back = lambda side: own.select(F.col("local").alias(side), F.col("node").alias(f"_{side}"))
+    return a.extract(nodes, 1).df.join(back("row"), "row").join(back("col"), "col").select(F.col("_row").alias("row"), F.col("_col").alias("col"), "val")
+
+
+@query(f"WITH {_GRAPH}, P AS (SELECT DISTINCT r // 7 AS p, c AS n FROM W WHERE r // 7 <> c // 7 UNION SELECT c // 7, r FROM W WHERE r // 7 <> c // 7) SELECT p::INT AS part_id, (n // 7)::INT AS owner, count(*)::BIGINT AS nodes FROM P GROUP BY 1, 2")
+def exchange_sizes(spark, d):
+    a = _graph(spark, d)
+    return a.exchange_sizes(a.resolve_partition(4, "simple"))
+
+
+@query("SELECT count(*)::BIGINT AS nodes, 8::BIGINT AS parts, (ceil(count(*) / 8.0))::BIGINT AS largest FROM part")
+def partition_hilbert(spark, d):
+    """Slices of equal counts along the curve."""
+    p = partition.partition_hilbert(_coords(spark, d), 8, order=8)
+    return p.groupBy("part_id").count().agg(F.sum("count").alias("nodes"), F.count("*").alias("parts"), F.max("count").alias("largest"))
+
+
+@query(f"WITH {_REGIONS} SELECT count(*) > 1 AS many FROM Z")
+def isolated_components(spark, d):
+    """Regions along one diagonal, made square and symmetric, have as many components at least."""
+    a = _regions(spark, d).to_block_diagonal()
+    ties = a.df.select("row", (F.col("col") + a.m).alias("col"), F.lit(1.0).alias("val"))
+    return spark.createDataFrame([(Matrix(ties, a.m + a.n, a.m + a.n).has_isolated_components(),)], "many boolean")
+
+
+# -- lists ----------------------------------------------------------------------
+_ENTRY = f"WITH {_REGIONS} SELECT m AS matrix_id, r AS row, c AS col, round({{}}, 6) + 0.0 AS val FROM X"
+
+
+def _listed(name: str, sql: str, f) -> None:
+    def run(spark, d):
+        return rounded(f(_regions(spark, d)).df, 6, "val")
+
+    run.__name__ = f"list_{name}"
+    query(_ENTRY.format(sql))(run)
+
+
+for _name, _sql, _f in (
+    ("add", "v + v", lambda a: a + a), ("add_scalar", "v + 3", lambda a: a + 3.0), ("subtract", "v - 3", lambda a: a - 3.0), ("scalar_minus", "3 - v", lambda a: 3.0 - a), ("multiply", "v * 2", lambda a: a * 2.0), ("divide", "v / 4", lambda a: a / 4.0), ("negate", "-v", lambda a: -a),
+    ("absolute", "abs(v)", lambda a: a.abs()), ("clamp", "least(greatest(v, -1000), 20000)", lambda a: a.clamp(-1000, 20000)), ("power", "pow(abs(v) / 1000, 1.5)", lambda a: (a.abs() / 1000.0).pow(1.5)), ("root", "sqrt(abs(v))", lambda a: a.abs().sqrt()),
+    ("exponential", "exp(v / 1000000)", lambda a: (a / 1000000.0).exp()), ("logarithm", "ln(abs(v) + 1)", lambda a: (a.abs() + 1.0).log()),
+):
+    _listed(_name, _sql, _f)
+
+
+_ALL = f"WITH {_REGIONS}, Y AS (SELECT L.m, L.r, G.c, X.v FROM L CROSS JOIN G LEFT JOIN X ON X.m = L.m AND X.r = L.r AND X.c = G.c)"
+
+
+@query(f"{_ALL} SELECT m AS matrix_id, r AS i, round(coalesce(avg(v), 0), 4) + 0.0 AS v FROM Y GROUP BY 1, 2")
+def list_mean(spark, d):
+    return rounded(_regions(spark, d).mean(1), 4)
+
+
+@query(f"{_ALL} SELECT m AS matrix_id, r AS i, round(max(coalesce(v, 0)), 2) + 0.0 AS v FROM Y GROUP BY 1, 2")
+def list_max(spark, d):
+    return rounded(_regions(spark, d).max(1))
+
+
+@query(f"{_ALL} SELECT m AS matrix_id, r AS i, round(min(coalesce(v, 0)), 2) + 0.0 AS v FROM Y GROUP BY 1, 2")
+def list_min(spark, d):
+    return rounded(_regions(spark, d).min(1))
+
+
+@query(f"WITH {_REGIONS} SELECT m AS matrix_id, k::BIGINT AS m, (SELECT count(*) FROM G)::BIGINT AS n FROM Z")
+def list_shapes(spark, d):
+    return _regions(spark, d).shapes().select("matrix_id", "m", "n")
+
+
+@query(f"WITH {_REGIONS} SELECT r AS row, c AS col, round(v, 2) + 0.0 AS val FROM X WHERE m = 2")
+def list_element(spark, d):
+    return rounded(_regions(spark, d).element(2).df, name="val")
+
+
+@query(f"WITH {_REGIONS} SELECT m AS matrix_id, row_i AS row, col_i AS col, round(sum(p * q) / 1e6, 4) AS val FROM (SELECT a.m, a.r AS row_i, b.r AS col_i, a.v AS p, b.v AS q FROM X a JOIN X b ON a.m = b.m AND a.c = b.c) GROUP BY 1, 2, 3")
+def list_gram(spark, d):
+    return rounded((_regions(spark, d).gram() / 1e6).df, 4, "val")
+
+
+@query(f"WITH {_REGIONS} SELECT m AS matrix_id, true AS holds FROM Z")
+def list_is_symmetric(spark, d):
+    return _regions(spark, d).gram().is_symmetric()
+
+
+@query("SELECT m::BIGINT AS matrix_id, k::BIGINT AS k, round(2 - 2 * cos((n - k) * pi() / (n + 1)), 8) AS lambda FROM (VALUES (0, 8), (1, 13)) t(m, n), range(3) u(k)")
+def list_eigsh(spark, d):
+    return rounded(Matrix.list_of([generators.laplacian_1d(spark, n) for n in (8, 13)]).eigsh(3, "LA").select("matrix_id", "k", "lambda"), 8, "lambda")
+
+
+@query(f"WITH {_REGIONS} SELECT m AS matrix_id, round(sum(v * v) / 1e9, 5) AS v FROM X GROUP BY 1")
+def list_svd(spark, d):
+    """The squares of all singular values add up to those of all entries."""
+    return _regions(spark, d).svd(100).groupBy("matrix_id").agg((F.round(F.sum(F.col("s") * F.col("s")) / 1e9, 5) + 0.0).alias("v"))
+
+
+@query("SELECT m::BIGINT AS matrix_id, round((2 + 2 * cos(pi() / (n + 1))) / (2 - 2 * cos(pi() / (n + 1))), 6) AS v FROM (VALUES (0, 8), (1, 13)) t(m, n)")
+def list_condition(spark, d):
+    return rounded(Matrix.list_of([generators.laplacian_1d(spark, n) for n in (8, 13)]).condition_number(), 6)
+
+
+# -- more model problems ----------------------------------------------------------
+@query("SELECT i::BIGINT AS k, round(2 - 2 * cos((i + 1) * pi() / 101), 9) AS lambda FROM range(100) t(i)")
+def laplacian_1d_eigenvalues(spark, d):
+    return rounded(generators.laplacian_1d_eigenvalues(spark, 100), 9, "lambda")
+
+
+@query("SELECT r::BIGINT AS row, (r + s)::BIGINT AS col, CASE WHEN s = 0 THEN 6.0 ELSE -1.0 END::DOUBLE AS val FROM range(125) t(r), (VALUES (0), (-1), (1), (-5), (5), (-25), (25)) u(s) WHERE r + s BETWEEN 0 AND 124 AND NOT (s = -1 AND r % 5 = 0) AND NOT (s = 1 AND r % 5 = 4) AND NOT (s = -5 AND (r // 5) % 5 = 0) AND NOT (s = 5 AND (r // 5) % 5 = 4)")
+def kron_poisson_3d(spark, d):
+    return generators.kron_poisson_3d(spark, 5).df
+
+
+@query("SELECT i::BIGINT AS i, round(3 * pi() * pi() * sin(pi() * (i // 25 + 1) / 6.0) * sin(pi() * (i // 5 % 5 + 1) / 6.0) * sin(pi() * (i % 5 + 1) / 6.0), 6) AS v FROM range(125) t(i)")
+def poisson_3d_rhs(spark, d):
+    return rounded(generators.poisson_3d(spark, 5)[1], 6)
+
+
+@query("SELECT i::BIGINT AS i, round(cos(i), 5) + 0.0 AS v FROM range(81) t(i)")
+def solve_anisotropic(spark, d):
+    a = generators.anisotropic_2d(spark, 9)
+    return rounded(a.solve(a.matvec(spark.range(81).select(F.col("id").alias("i"), F.cos("id").alias("v"))), "lu"), 5)
+
+
+@query("SELECT i::BIGINT AS i, round(cos(i), 5) + 0.0 AS v FROM range(100) t(i)")
+def solve_kron_anisotropic(spark, d):
+    a = generators.kron_anisotropic_2d(spark, 10)
+    return rounded(a.solve(a.matvec(spark.range(100).select(F.col("id").alias("i"), F.cos("id").alias("v"))), "cg", rtol=1e-12), 5)
+
+
+@query("SELECT i::BIGINT AS i, round(sin(i), 6) + 0.0 AS re, 0.0::DOUBLE AS im FROM range(64) t(i)")
+def solve_helmholtz_2d(spark, d):
+    a = generators.helmholtz_2d(spark, 8)
+    x = spark.range(64).select(F.col("id").alias("i"), F.struct(F.sin("id").alias("re"), F.lit(0.0).alias("im")).alias("v"))
+    return a.solve(a.matvec(x)).select("i", (F.round("v.re", 6) + 0.0).alias("re"), (F.round("v.im", 6) + 0.0).alias("im"))
+
+
+# -- more of the planner ------------------------------------------------------------
+@query("SELECT * FROM (VALUES ('gather', 'cholesky', 'lu'), ('distributed', 'cg', 'minres')) t(tier, spd, other)")
+def planner_methods(spark, d):
+    return spark.createDataFrame([(t, planner.select_method(t, True, True), planner.select_method(t, True, False)) for t in ("gather", "distributed")], "tier string, spd string, other string")
+
+
+@query("SELECT name, name IN ('gather', 'distributed', 'frames') AS known FROM (VALUES ('gather'), ('distributed'), ('frames')) t(name)")
+def planner_available(spark, d):
+    return spark.createDataFrame([(t, bool(planner.methods(t)) and planner.default_method(t) in planner.methods(t) and t in planner.report()) for t in planner.available_tiers()], "name string, known boolean")

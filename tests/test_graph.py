@@ -96,3 +96,31 @@ def test_extract_and_methods(spark):
         a.resolve_partition(3, "nothing")
     with pytest.raises(ValueError):
         a.resolve_partition(3, "rcb")
+
+
+def test_tie_queries_by_brute_force(spark):
+    """The two queries that have no SQL, over whole tables, against a union-find."""
+    import datetime
+
+    from cooframe import queries
+
+    sf = "/root/testdata/sf0.001"
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_shipdate").collect()
+    m = spark.read.parquet(f"{sf}/orders.parquet").agg({"o_orderkey": "max"}).first()[0] + 1
+    days = [(r.l_shipdate.date() - datetime.date(1992, 1, 1)).days for r in li]
+    n = m + max(days) + 1
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for r, day in zip(li, days):
+        a, b = find(r.l_orderkey), find(m + day)
+        root[max(a, b)] = min(a, b)
+    least = [find(i) for i in range(n)]
+    number = {x: k for k, x in enumerate(sorted(set(least)))}
+    assert {r.i: r.label for r in queries.connected_components(spark, sf).collect()} == {i: number[x] for i, x in enumerate(least)}
+    sizes = [least.count(x) for x in number]
+    assert {r.nodes: r.components for r in queries.component_sizes(spark, sf).collect()} == {k: sizes.count(k) for k in set(sizes)}

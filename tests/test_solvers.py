@@ -170,3 +170,41 @@ def test_poisson_is_second_order(spark):
         x = a.solve(b, "cholesky")
         errors.append(x.withColumnRenamed("v", "x").join(exact, "i").agg(F.max(F.abs(F.col("x") - F.col("v")))).first()[0])
     assert 3 < errors[0] / errors[1] < 5
+
+
+def test_levels_against_dense_factors():
+    import numpy as np
+
+    from cooframe.kernels.sparse import Entries, LevelLU, pieces, whole
+
+    rng = np.random.default_rng(0)
+    for n, extra, is_complex in ((1, 0, False), (60, 30, False), (300, 250, False), (200, 500, True)):
+        r, c = rng.integers(0, n, extra), rng.integers(0, n, extra)
+        v = rng.standard_normal(extra) + (1j * rng.standard_normal(extra) if is_complex else 0)
+        e = Entries(np.concatenate([r, np.arange(n)]), np.concatenate([c, np.arange(n)]), np.concatenate([v, np.full(n, 20.0)]), n, n)
+        x, f = rng.standard_normal((n, 2)), LevelLU.of(e)
+        for g in (f, whole(pieces(f)["payload"])):
+            assert np.allclose(g.solve(e.dense() @ x), x) and np.allclose(g.solve(e.dense().T @ x, True), x)
+            sign, log = np.linalg.slogdet(e.dense())
+            assert np.allclose(g.slogdet()[1], log) and np.allclose(g.slogdet()[0], sign)
+
+
+def test_kept_factors_and_shifts(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from cooframe.sources import generators
+
+    a = generators.laplacian_2d(spark, 48)  # 2,304 unknowns
+    x = spark.range(a.m).select(F.col("id").alias("i"), F.sin("id").alias("v"))
+    lu = a.lu()
+    got = lu.solve(a.matvec(x)).join(x.withColumnRenamed("v", "w"), "i").agg(F.max(F.abs(F.col("v") - F.col("w"))), F.count("*")).first()
+    assert got[0] < 1e-10 and got[1] == a.m
+    lu.drop()
+    one = 2 - 2 * np.cos(np.arange(1, 49) * np.pi / 49)
+    want = np.sort((one[:, None] + one).ravel())
+    values = [r["lambda"] for r in a.eigsh(3, sigma=0.0).orderBy("k").collect()]
+    assert np.allclose(values, want[:3])
+    small = generators.laplacian_1d(spark, 30)
+    exact = 2 - 2 * np.cos(np.arange(1, 31) * np.pi / 31)
+    assert np.allclose([r["lambda"] for r in small.eigsh(2, sigma=1.0).orderBy("k").collect()], exact[np.argsort(np.abs(exact - 1))[:2]])
