@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (as in tests), a new local one."""
+    """The folder of spark.checkpoint.dir; where that is unset and the master local (as in tests), a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="cooframe-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = "file://" + own
