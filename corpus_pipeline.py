@@ -21,7 +21,7 @@ KEY = "pipeline"
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or unlike every learned language, go; the others stay as they are."""
+    """Documents without a letter (null and empty texts too), or unlike every learned language, go; all others stay as they are, repeated rows too."""
     profiles = langid.fit(docs, ~langid.held_out("doc_id"))
     own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
     found = langid.predict(own, profiles, keep=("row",))
@@ -31,25 +31,25 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays, once."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays, once; texts without words and rows without doc_id have no copies."""
     found = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
     kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__kept_id"))).drop("__kept_id")
     return kept.dropDuplicates(["doc_id", "text"])
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to pseudonyms of the same format."""
+    """Personal data give way to pseudonyms of the same format; null texts stay null, no row goes."""
     own = pii.pseudonymise(docs.select("text", F.struct(*docs.columns).alias("row")), KEY)
     return own.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources meet their target weights; a document taken twice is two rows."""
+    """Sources meet their target weights; a document taken twice is two rows. A null source is a source; a text without words has copies as its rank says."""
     return mixing.mixed(docs, seed="pipeline")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded_chars`` for every row of the mix, in the public word-end vocabulary."""
+    """``doc_id, n_tokens, ids, decoded_chars`` for every row of the mix, in the public word-end vocabulary; null texts have no ids."""
 
     def counted(batches):
         for b in batches:
@@ -67,7 +67,7 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: No SQL says language profiles, Feistel networks or BPE; tests hold run() against a brute-force version.
+#: No SQL says language profiles, Feistel networks or BPE; tests hold each operator against brute force and run() by what its stages must keep.
 ORACLE_SQL = None
 
 
