@@ -67,3 +67,24 @@ def test_usual_file_notices(spark):
     rows = [(1, notice), (2, "// SPDX-License-Identifier: MIT\nint main() {}"), (3, "# SPDX-License-Identifier: GPL-2.0-or-later\n\nx = 1"), (4, "This is free and unencumbered software released into the public\ndomain.")]
     got = {r.doc_id: r.licenses for r in licenses.scan(docs(spark, rows)).collect()}
     assert got == {1: ["GPL-3.0"], 2: ["MIT"], 3: ["GPL-2.0-or-later"], 4: ["Unlicense"]}
+
+
+def test_blocks_are_compressed_with_every_template_and_the_best_has_the_words(spark):
+    scanner, prose = licenses.Scanner(), licenses.words("the harbour was quiet that morning while seven fishermen mended old nets near a crooked pier")
+    for name, own in scanner.words.items():
+        best = scanner.ranked([*prose, *own, *prose], scanner.names)[0]
+        assert licenses._FORM.sub("", best) == licenses._FORM.sub("", name), (name, best)
+    rows = [(1, "Drivers need a license. They studied under the MIT professor of physics."), (2, "This is licensed under the MIT and that is under the ISC license."), (3, licenses.TEMPLATES["Apache-2.0-text"]), (4, "quiet nets " * 400 + "released under the MIT license " + "old pier " * 400)]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [got[i].licenses for i in (1, 2, 3, 4)] == [[], ["ISC", "MIT"], ["Apache-2.0"], ["MIT"]]
+    assert [s.license for s in got[3].spans] == ["Apache-2.0-text"]
+
+
+def test_ranking_leaves_out_no_template_that_words_confirm():
+    ranked, every = licenses.Scanner(), licenses.Scanner()
+    every.ranked = lambda own, names: names
+    prose = licenses.words("the harbour was quiet that morning while seven fishermen mended old nets near a crooked pier and talked about storms and prices of bread")
+    for own in ranked.words.values():
+        for k in range(len(own)):
+            block = prose * (k % 4) + own[:k] + prose[k % 5 : k % 5 + 1] + own[k + 1 :] + prose * (k % 3)
+            assert ranked.block(block) == every.block(block), block
