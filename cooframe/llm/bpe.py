@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
@@ -20,10 +21,15 @@ from ._text import in_groups
 LONG, LEAF, THREADS = 4096, 1024, 2
 #: Memo: words it holds, the longest word it keeps, and ids in all.
 MEMO, MEMO_CHARS, MEMO_IDS = 400_000, 40, 1 << 23
+#: Times MEMO that the memo holds under the form ``bytes``.
+MORE = 2
 _CHARS = 1 << 20
-#: Words that one call of the library encodes, joined by a word whose id is known.
-_AT_ONCE = 1000
+#: Words that the library encodes as one text, joined by a word whose id is known, and such texts in a call.
+_AT_ONCE, _CALLS = 1000, 16
 LETTER, NUMBER, SPACE, OTHER = range(1, 5)
+#: The symbol of each byte in byte-level BPE: its own character if that is visible, else one from 256 on, in order.
+_SEEN = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
+SYMBOLS = {b: chr(b) if b in _SEEN else chr(256 + b - bisect_left(_SEEN, b)) for b in range(256)}
 
 
 def load(path: str):
@@ -127,6 +133,8 @@ class Words:
         return NUMBER if whole("1" + c) else SPACE
 
     def learn(self, blocks: set[int]) -> None:
+        if blocks <= self.blocks:
+            return
         for b in blocks - self.blocks:
             for c in range(b * 256, b * 256 + 256):
                 self.classes[c] = OTHER if 0xD800 <= c < 0xE000 else self._class(chr(c))
@@ -154,6 +162,46 @@ class Words:
         return self.pattern
 
 
+    def starts(self, raw: bytes, gaps: np.ndarray) -> np.ndarray:
+        """First bytes of the words of UTF-8 texts under the pattern of ``bytes``; ``gaps``, each a byte between two texts, are words too."""
+        b = np.frombuffer(raw, np.uint8)
+        kind = np.where(np.arange(256) < 128, self.classes[:256], 0).astype(np.uint8)[b]
+        lead = np.flatnonzero(b >= 0xC0)
+        if len(lead):
+            first = b[lead]
+            size = 2 + (first >= 0xE0) + (first >= 0xF0)
+            code = (first & np.array([0x1F, 0x0F, 0x07], np.uint8)[size - 2]).astype(np.int32)
+            for k in range(1, 4):
+                on = size > k
+                code[on] = code[on] << 6 | b[lead[on] + k] & 0x3F
+            self.learn(set(np.unique(code >> 8).tolist()))
+            own = self.classes[code]
+            for k in range(4):
+                on = size > k
+                kind[lead[on] + k] = own[on]
+        kind[gaps] = 0
+        start = np.empty(len(b), bool)
+        start[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])
+        # the last white space before a word stands alone, and is the word's own if it is a plain space
+        run = np.flatnonzero(start[1:] & (kind[:-1] == SPACE) & (kind[1:] != 0)) + 1
+        last = run - 1
+        for _ in range(3):
+            last = last - (b[last] & 0xC0 == 0x80)
+        start[last] = True
+        start[run[b[last] == 0x20]] = False
+        mark = np.flatnonzero(b == 0x27)
+        mark = mark[start[mark]]
+        after = np.frombuffer(raw + b"\0\0", np.uint8)
+        x, y = after[mark + 1], after[mark + 2]
+        one = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+        two = (x == ord("r")) & (y == ord("e")) | (x == ord("v")) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))
+        start[mark[one | two] + 1] = False
+        end = np.concatenate([mark[one] + 2, mark[two] + 3])
+        start[end[end < len(b)]] = True
+        return np.flatnonzero(start)
+
+
 class Memo(dict):
     """Word to its place in the memo's tables; a word not yet there gets the next place and waits for its ids."""
 
@@ -171,7 +219,8 @@ class Memo(dict):
 class Encoder:
     """Ids of whole texts, exactly as the tokenizers library gives them.
 
-    Texts are cut into words where the tokenizer cuts them; the library encodes
+    Texts are cut into words where the tokenizer cuts them (under the form
+    ``bytes`` many texts at once, by the classes of their bytes); the library encodes
     each distinct word once, many in a call, and a bounded memo keeps the ids
     of words that return. Texts that hold the string of a special token, and
     all texts under a file of another form, are encoded by the library whole.
@@ -185,12 +234,17 @@ class Encoder:
         self.marks = [t["content"] for t in spec["added_tokens"]]
         self.path, self.tree = path, None
         if self.kind:
-            # words are of normalised text, which another pass might change
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, pre_tokenizers
 
-            self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "truncation": None, "padding": None}))
             self.words = Words(self.tokenizer, self.kind)
-            # no other word has the separator's id: a digit, or a line end, is never part of one
+            # words are of normalised text, which another pass might change
+            bare = spec | {"normalizer": None, "truncation": None, "padding": None}
+            if self.kind == "bytes":  # they come as symbols, so that nothing is left but merges
+                self.plain = Tokenizer.from_str(json.dumps(bare | {"post_processor": None, "decoder": None, "added_tokens": []}))
+                self.plain.pre_tokenizer = pre_tokenizers.Split(SYMBOLS[10], "isolated")
+            else:
+                self.plain = Tokenizer.from_str(json.dumps(bare))
+            # no other word has the separator's id: a digit is never part of one; words with a line end are encoded alone
             self.separator = "\n" if self.kind == "bytes" else " 0 "
             (self.separator_id,) = self._word(self.separator)
         self._clear()
@@ -204,7 +258,10 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _word(self, words: str) -> list[int]:
-        return self.plain.encode(words, add_special_tokens=False).ids
+        return self.plain.encode(self._symbols(words), add_special_tokens=False).ids
+
+    def _symbols(self, words: str) -> str:
+        return words.encode().decode("latin-1").translate(SYMBOLS) if self.kind == "bytes" else words
 
     def _long(self, word: str) -> list[int]:
         self.tree = self.tree or Tree(self.path)
@@ -225,32 +282,39 @@ class Encoder:
         while memo.places > len(self.first):
             self.first, self.size, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.used))
         base = memo.places - len(waiting)
-        short, alone = [], []
-        for k, w in enumerate(waiting):
-            # white space next to a separator would run into it; a long word is the tree's
-            (alone if len(w) >= LONG or (self.kind == "bytes" and w[-1:].isspace()) or w == self.separator.strip() else short).append(k)
-        runs = [short[s : s + _AT_ONCE] for s in range(0, len(short), _AT_ONCE)]
-        for some, found in zip(runs, self.plain.encode_batch_fast([self.separator.join([waiting[k] for k in some]) for some in runs], add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.separator_id), len(ids))
-            if len(ends) != len(some):
-                raise RuntimeError("words ran into one another")
-            sizes = np.diff(ends, prepend=-1) - 1
-            self._put(base + np.array(some), ids[ids != self.separator_id], sizes)
+        sign = self.separator.strip() or self.separator
+        # a separator in a word would cut it; a long word is the tree's
+        alone = [k for k, w in enumerate(waiting) if sign in w or len(w) >= LONG] if any(map(LONG.__le__, map(len, waiting))) or sign in "".join(waiting) else []
+        apart = set(alone)
+        short = [k for k in range(len(waiting)) if k not in apart] if apart else range(len(waiting))
+        words = [waiting[k] for k in short] if apart else waiting
+        at = base + np.array(short, np.int64)
+        for s in range(0, len(words), _AT_ONCE * _CALLS):
+            # what the library makes of a run is far larger than its ids, so few runs are held at a time
+            runs = range(s, min(s + _AT_ONCE * _CALLS, len(words)), _AT_ONCE)
+            for r, found in zip(runs, self.plain.encode_batch_fast([self._symbols(self.separator.join(words[r : r + _AT_ONCE])) for r in runs], add_special_tokens=False)):
+                ids = np.array(found.ids, np.uint32)
+                ends = np.append(np.flatnonzero(ids == self.separator_id), len(ids))
+                if len(ends) != len(at[r : r + _AT_ONCE]):
+                    raise RuntimeError("words ran into one another")
+                sizes = np.diff(ends, prepend=-1) - 1
+                self._put(at[r : r + _AT_ONCE], ids[ids != self.separator_id], sizes)
         for k in alone:
-            ids = np.array(self._long(waiting[k]) if len(waiting[k]) >= LONG else self._word(waiting[k]), np.uint32)
+            ids = np.array(self._long(waiting[k]) if len(waiting[k]) >= LONG else self._whole(waiting[k]) if self.kind == "bytes" else self._word(waiting[k]), np.uint32)
             self._put(np.array([base + k]), ids, np.array([len(ids)]))
-        for k, w in enumerate(waiting):
-            if len(w) > MEMO_CHARS:
-                del memo[w]
+        for w in [w for w in waiting if len(w) > MEMO_CHARS]:
+            del memo[w]
         waiting.clear()
 
+    def _most(self) -> int:
+        return MEMO * MORE if self.kind == "bytes" else MEMO
+
     def _forget(self) -> None:
         """Keep the words that came back, most used first, half of the memo at most."""
         old, first, size, used, flat = self.memo, self.first, self.size, self.used, self.flat
         again = [(w, p) for w, p in old.items() if used[p] > 1]
-        if len(again) > MEMO // 2:
-            least = np.partition(np.array([used[p] for _, p in again]), len(again) - MEMO // 2)[len(again) - MEMO // 2]
+        if len(again) > self._most() // 2:
+            least = np.partition(np.array([used[p] for _, p in again]), len(again) - self._most() // 2)[len(again) - self._most() // 2]
             again = [(w, p) for w, p in again if used[p] > least]
         self._clear()
         if again:
@@ -274,28 +338,48 @@ class Encoder:
             while len(some := list(islice(words, 100_000))):
                 yield np.array(list(map(get, some)), np.int64)
 
+    def _many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words of many texts in the memo, each distinct word looked up once, and the number of each text's words."""
+        raw = "\0".join(texts).encode()
+        gaps = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in texts])[:-1] + np.arange(len(texts) - 1)
+        starts = self.words.starts(raw, gaps)
+        at = np.searchsorted(starts, gaps)
+        bounds = np.append(starts, len(raw)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+        which = np.delete(found.indices.to_numpy(), at)
+        known = np.array(list(map(self.memo.__getitem__, found.dictionary.to_numpy(zero_copy_only=False))), np.int64)
+        return known[which], np.diff(at, prepend=-1, append=len(starts)) - 1
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin and the last one's end; null is empty."""
         parts: list[np.ndarray] = []
         sizes = np.zeros(len(texts) + 1, np.int64)
         held: list[np.ndarray] = []
+        counts: list[int] = []
         owners: list[int] = []
+        ready: list[str] = []
 
         def flush() -> None:
             """Ids of the words held so far, in one gathering."""
+            if ready:
+                places, found = self._many(ready)
+                held.append(places)
+                counts.extend(found.tolist())
+                ready.clear()
             if not held:
                 return
             self._learn()
             places = np.concatenate(held)
-            counts = self.size[places]
-            parts.append(_gather(self.flat, self.first[places], counts))
+            of = self.size[places]
+            parts.append(_gather(self.flat, self.first[places], of))
             self.used[: self.memo.places] += np.bincount(places, minlength=self.memo.places)
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            at = np.cumsum([0, *map(len, held)])
+            ends = np.concatenate([[0], np.cumsum(of)])
+            at = np.cumsum([0, *counts])
             np.add.at(sizes, np.array(owners) + 1, ends[at[1:]] - ends[at[:-1]])
             held.clear()
+            counts.clear()
             owners.clear()
-            if len(self.memo) > MEMO or self.filled > MEMO_IDS:
+            if len(self.memo) > self._most() or self.filled > MEMO_IDS:
                 self._forget()
 
         for k, text in enumerate(texts):
@@ -306,8 +390,15 @@ class Encoder:
                 parts.append(np.array(self._whole(text), np.uint32))
                 sizes[k + 1] = len(parts[-1])
                 continue
+            if self.kind == "bytes" and len(text) <= _CHARS:
+                ready.append(text)
+                owners.append(k)
+                continue
+            if ready:
+                flush()
             for places in self._ids(text):
                 held.append(places)
+                counts.append(len(places))
                 owners.append(k)
                 if len(text) > _CHARS:
                     flush()

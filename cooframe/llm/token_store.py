@@ -36,7 +36,7 @@ from .shared import new_path, spread, written
 #: A cut follows an id where the rolling hash of the last 16 ids has its low bits clear.
 LOW_BITS, LEAST, MOST = 9, 128, 8192
 _GEAR = np.random.default_rng(606).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
-_CHARS = 1 << 20
+_CHARS = 1 << 22
 _SEEN = 100_000
 _ROW = "kind int, key long, doc_id long, n_tokens long, hashes array<binary>, lengths array<int>, root binary, hash binary, wide boolean, payload binary"
 

@@ -235,3 +235,26 @@ def test_long_gaps():
     for t in ("a" + " " * 2_000_000 + "b", " " * 2_000_000, "\n" * 1_100_000 + "x"):
         ids, ends = own.encode([t, "next to it"])
         assert library.decode(ids[: ends[1]].tolist(), skip_special_tokens=False) == t
+
+
+def test_texts_are_cut_at_once_and_each_distinct_word_is_looked_up_once():
+    looked = []
+
+    class Counting(bpe.Memo):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    own, whole = bpe.Encoder(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    own.memo = Counting()
+    texts = ["it's one  two 'twas\n\n we'll'd 　x 12² 日\U0001f600", "it's one", None, " ", "a\0b \0", "\n \n"] * 500 + ["<|endoftext|> it's", "they've'", " \t'll"]
+    ids, to = own.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(to[:-1], to[1:])] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(looked) < 200
+
+
+def test_every_character_between_others():
+    own, whole = bpe.Encoder(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["".join(f"{chr(c)} {chr(c)}'s{chr(c)}a" for c in range(s, s + 512) if not 0xD800 <= c < 0xE000) for s in [*range(0, 0x3400, 512), 0xA600, 0xFE00, 0x1F600, 0xE0000]]
+    ids, to = own.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(to[:-1], to[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
