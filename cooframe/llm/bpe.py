@@ -227,16 +227,20 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = load(path)
+        full = load(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind = _kind(spec)
+        # where words are encoded, the whole tokenizer is loaded again by the first text that needs it: two of them are much memory
+        self.full = None if self.kind else full
         self.marks = [t["content"] for t in spec["added_tokens"]]
         self.path, self.tree = path, None
         if self.kind:
             from tokenizers import Tokenizer, pre_tokenizers
 
-            self.words = Words(self.tokenizer, self.kind)
+            self.words = Words(full, self.kind)
+            self.normalizer, self.pre_tokenizer = full.normalizer, full.pre_tokenizer
+            del full
             # words are of normalised text, which another pass might change
             bare = spec | {"normalizer": None, "truncation": None, "padding": None}
             if self.kind == "bytes":  # they come as symbols, so that nothing is left but merges
@@ -255,7 +259,8 @@ class Encoder:
         self.filled = 0
 
     def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.full = self.full or load(self.path)
+        return self.full.encode(text, add_special_tokens=False).ids
 
     def _word(self, words: str) -> list[int]:
         return self.plain.encode(self._symbols(words), add_special_tokens=False).ids
@@ -265,7 +270,7 @@ class Encoder:
 
     def _long(self, word: str) -> list[int]:
         self.tree = self.tree or Tree(self.path)
-        ((symbols, _),) = self.tokenizer.pre_tokenizer.pre_tokenize_str(word)
+        ((symbols, _),) = self.pre_tokenizer.pre_tokenize_str(word)
         return self.tree.encode(symbols)
 
     def _put(self, places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -329,7 +334,7 @@ class Encoder:
     def _ids(self, text: str) -> Iterator[np.ndarray]:
         """Places of a text's words in the memo, a bounded number at a time."""
         if self.kind == "words":
-            text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
+            text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
         find, get = self.words.find(text), self.memo.__getitem__
         if len(text) <= _CHARS:
             yield np.array(list(map(get, find.findall(text))), np.int64)
@@ -453,6 +458,7 @@ class Decoder:
             self.words = [None] * (max(known.values(), default=-1) + 1)
             for w, i in known.items():
                 self.words[i] = w
+            self.tokenizer = None
 
     def decode(self, ids: list[int]) -> str:
         if self.words is None:
