@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import warnings
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,51 +56,60 @@ def partition_rcb(coords: DataFrame, parts: int, axes: tuple[str, ...] = ("x", "
         state = state.where("_parts <= 1").unionByName(moved)
 
 
+@functools.cache
+def _hilbert_tables(d: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """For every turn of a cell and every corner, at turn * 2^d + corner: the turn of the cell in that corner, and the corner's place along the curve.
+
+    A turn is the order of the axes, those that are mirrored, and whether the
+    places so far mirror all of them.
+    """
+    first = (tuple(range(d)), (0,) * d, 0)
+    turns, after, places = {first: 0}, [], []
+    todo = [first]
+    for axes, mirrored, odd in todo:
+        for corner in range(1 << d):
+            own = [corner >> (d - 1 - k) & 1 for k in range(d)]
+            bits = [own[a] ^ m for a, m in zip(axes, mirrored)]
+            order, flips = list(axes), list(mirrored)
+            for k in range(d):
+                if bits[k]:
+                    flips[0] ^= 1
+                else:
+                    order[0], order[k], flips[0], flips[k] = order[k], order[0], flips[k], flips[0]
+            gray, place = 0, 0
+            for x in bits:
+                gray ^= x
+                place = place * 2 + (gray ^ odd)
+            turn = (tuple(order), tuple(flips), odd ^ gray)
+            if turn not in turns:
+                turns[turn] = len(turns)
+                todo.append(turn)
+            after.append(turns[turn])
+            places.append(place)
+    return tuple(after), tuple(places)
+
+
 def hilbert_index(coords: list[Column], order: int = 16) -> Column:
-    """Place along the Hilbert curve of integer coordinates below 2^order, in two or three dimensions: bit operations only.
+    """Place along the Hilbert curve of integer coordinates below 2^order, in two or three dimensions.
 
-    The transform between axes and transposed index is a fold over bits, the
-    state a struct of the axes, so the plan does not grow with ``order``.
+    One fold from the highest bit down, whose state holds the coordinates, the
+    place so far and the turn of the cell: a row costs ``order`` steps, and
+    neither the plan nor a step grows with ``order``.
     """
     d = len(coords)
     if d not in (2, 3):
         raise ValueError("two or three axes")
     names = [f"x{k}" for k in range(d)]
-    pack = lambda xs: F.struct(*[x.cast("long").alias(n) for n, x in zip(names, xs)])
-
-    def undo(s: Column, q: Column) -> Column:
-        low = q - 1
-        xs = [s[n] for n in names]
-        for k in range(d):
-            hit = xs[k].bitwiseAND(q) != 0
-            swap = xs[0].bitwiseXOR(xs[k]).bitwiseAND(low)
-            first = F.when(hit, xs[0].bitwiseXOR(low)).otherwise(xs[0].bitwiseXOR(swap))
-            other = F.when(hit, xs[k]).otherwise(xs[k].bitwiseXOR(swap))
-            if k:
-                xs[0], xs[k] = first, other
-            else:
-                xs[0] = first
-        return pack(xs)
-
-    bits = F.transform(F.sequence(F.lit(order - 1), F.lit(1), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("long"))
-    turned = F.aggregate(bits, pack(coords), undo)
-
-    def gray(t: Column) -> list[Column]:
-        xs = [t[n] for n in names]
-        for k in range(1, d):
-            xs[k] = xs[k].bitwiseXOR(xs[k - 1])
-        flip = F.aggregate(bits, F.lit(0).cast("long"), lambda s, q: F.when(xs[-1].bitwiseAND(q) != 0, s.bitwiseXOR(q - 1)).otherwise(s))
-        return [x.bitwiseXOR(flip) for x in xs]
-
-    xs = gray(turned)
-    places = F.sequence(F.lit(order - 1), F.lit(0), F.lit(-1))
-
-    def weave(s: Column, k: Column) -> Column:
-        for x in xs:
-            s = s * 2 + F.floor(x / F.pow(F.lit(2), k)).cast("long") % 2
-        return s
-
-    return F.aggregate(places, F.lit(0).cast("long"), weave)
+    after, places = (F.array(*[F.lit(x) for x in t]) for t in _hilbert_tables(d))
+
+    def step(s: Column, k: Column) -> Column:
+        at = s["turn"]
+        for n in names:
+            at = at * 2 + F.call_function("shiftright", s[n], k).bitwiseAND(1).cast("int")
+        return F.struct(*[s[n].alias(n) for n in names], (s["at"] * (1 << d) + F.get(places, at)).alias("at"), F.get(after, at).alias("turn"))
+
+    start = F.struct(*[x.cast("long").alias(n) for n, x in zip(names, coords)], F.lit(0).cast("long").alias("at"), F.lit(0).alias("turn"))
+    return F.aggregate(F.sequence(F.lit(order - 1), F.lit(0), F.lit(-1)), start, step, lambda s: s["at"])
 
 
 def scaled(coords: DataFrame, axes: tuple[str, ...], order: int = 16) -> list[Column]:
