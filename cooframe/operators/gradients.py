@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import Matrix, bind
+from . import blocks
 from .direct import gathered, solve
 from .products import matmul_at
 
@@ -31,10 +32,13 @@ def solve_vjp(a: Matrix, b: DataFrame, g: DataFrame, method: str = "auto") -> tu
     return at_pattern(a, w, solve(a, b, method), -1.0), w
 
 
-def matmul_vjp(a: Matrix, b: Matrix, g: Matrix) -> tuple[DataFrame, DataFrame]:
-    """For C = A B: G B^T at A's places and A^T G at B's."""
+def matmul_vjp(a: Matrix, b: Matrix, g: Matrix, needs: tuple[bool, bool] = (True, True)) -> tuple[DataFrame | None, DataFrame | None]:
+    """For C = A B: G B^T at A's places and A^T G at B's; None for a side that is not needed."""
+    if blocks.fit(a, b):
+        a, b = blocks.settled(a), blocks.settled(b)
     at = lambda m: m.coalesce().df.select(*m.keys, "row", "col")
-    return matmul_at(g, b.T, at(a), by="right"), matmul_at(a.T, g, at(b), by="left")
+    left = matmul_at(g, b.T, at(a), by="right") if needs[0] else None
+    return left, matmul_at(a.T, g, at(b), by="left") if needs[1] else None
 
 
 def sum_vjp(a: Matrix, axis: int, g: DataFrame) -> DataFrame:

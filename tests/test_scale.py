@@ -2,9 +2,35 @@
 
 import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from cooframe.operators import partition
+from cooframe import Matrix
+from cooframe.kernels import products as kernel
+from cooframe.operators import blocks, partition
+
+
+def shuffled_rows(spark, run) -> int:
+    """Rows that the exchanges of ``run`` write."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
+def sparse(spark, rng, m, n, share, path):
+    """A matrix read from a table, and its dense array."""
+    d = np.where(rng.random((m, n)) < share, rng.integers(-4, 5, (m, n)) + 0.5, 0.0)
+    r, c = np.nonzero(d)
+    spark.createDataFrame([(int(i), int(j), float(d[i, j])) for i, j in zip(r, c)], "row long, col long, val double").write.parquet(path)
+    return Matrix(spark.read.parquet(path), m, n, coalesced=True), d
 
 
 def test_hilbert_index_costs_a_step_a_bit(spark):
@@ -20,3 +46,52 @@ def test_hilbert_curve_of_one_bit(spark):
     cells = spark.range(4).select(F.floor(F.col("id") / 2).alias("x"), (F.col("id") % 2).alias("y"))
     by = {r.h: (r.x, r.y) for r in cells.select("x", "y", partition.hilbert_index([F.col("x"), F.col("y")], 1).alias("h")).collect()}
     assert sorted(by) == [0, 1, 2, 3] and all(abs(by[h][0] - by[h + 1][0]) + abs(by[h][1] - by[h + 1][1]) == 1 for h in range(3))
+
+
+@pytest.fixture
+def by_blocks(monkeypatch):
+    monkeypatch.setattr(blocks, "LARGE", 1)
+    monkeypatch.setattr(blocks, "TERMS", 400)
+    monkeypatch.setattr(blocks, "RANGES", 6)
+
+
+def test_products_by_blocks(spark, tmp_path, by_blocks):
+    rng = np.random.default_rng(5)
+    a, d = sparse(spark, rng, 40, 30, 0.3, str(tmp_path / "a"))
+    b, e = sparse(spark, rng, 30, 25, 0.2, str(tmp_path / "b"))
+    assert blocks.fit(a, b)
+    assert np.array_equal((a @ b).to_numpy(), d @ e) and np.array_equal(a.gram().to_numpy(), d @ d.T)
+    places = spark.createDataFrame([(i, j) for i in range(40) for j in range(25) if (i + j) % 3], "row long, col long")
+    for by in ("right", "left"):
+        got = {(r.row, r.col): r.v for r in a.matmul_at(b, places, by=by).collect()}
+        assert got == {(i, j): (d @ e)[i, j] for i in range(40) for j in range(25) if (i + j) % 3}
+    g, f = sparse(spark, rng, 40, 25, 0.5, str(tmp_path / "g"))
+    left, right = a.matmul_vjp(b, g)
+    assert {(r.row, r.col): r.v for r in left.collect()} == {(i, j): (f @ e.T)[i, j] for i, j in zip(*map(np.ndarray.tolist, np.nonzero(d)))}
+    assert {(r.row, r.col): r.v for r in right.collect()} == {(i, j): (d.T @ f)[i, j] for i, j in zip(*map(np.ndarray.tolist, np.nonzero(e)))}
+    assert a.matmul_vjp(b, g, needs=(False, True))[0] is None
+
+
+def test_products_by_blocks_keep_unknown_values_and_places(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(0, 0, 2.0), (0, 1, None), (1, 1, None), (None, 0, 3.0), (2, None, 9.0)], "row long, col long, val double").write.parquet(str(tmp_path / "a"))
+    a = Matrix(spark.read.parquet(str(tmp_path / "a")), 3, 2, coalesced=True)
+    rows = lambda: sorted(map(tuple, a.gram().df.collect()), key=str)
+    want = rows()
+    monkeypatch.setattr(blocks, "LARGE", 1)
+    assert rows() == want and (1, 1, None) in want
+
+
+def test_block_kernels_with_few_terms_at_once(monkeypatch):
+    monkeypatch.setattr(kernel, "TERMS", 5)
+    rng = np.random.default_rng(2)
+    d, e = (np.where(rng.random(s) < 0.4, rng.standard_normal(s), 0.0) for s in ((9, 7), (7, 8)))
+    parts = lambda m: (*np.nonzero(m), m[np.nonzero(m)], np.ones(np.count_nonzero(m), bool))
+    out = np.zeros((9, 8))
+    for r, c, v, known in kernel.multiply(parts(d), parts(e)):
+        assert known.all()
+        out[r, c] = v
+    assert np.allclose(out, d @ e)
+    e[:, 3] = np.inf
+    r, c, v = (np.concatenate(x) for x in zip(*kernel.multiply_at(*np.nonzero(np.ones((9, 8))), parts(d), parts(e))))
+    out[r, c] = v
+    assert np.allclose(np.delete(out, 3, 1), np.delete(d @ e, 3, 1)) and not np.isnan(out[(d >= 0).all(1)]).any()
