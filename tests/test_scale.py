@@ -95,3 +95,16 @@ def test_block_kernels_with_few_terms_at_once(monkeypatch):
     r, c, v = (np.concatenate(x) for x in zip(*kernel.multiply_at(*np.nonzero(np.ones((9, 8))), parts(d), parts(e))))
     out[r, c] = v
     assert np.allclose(np.delete(out, 3, 1), np.delete(d @ e, 3, 1)) and not np.isnan(out[(d >= 0).all(1)]).any()
+
+
+def test_terms_of_large_products_stay_in_their_task(spark, tmp_path, by_blocks):
+    """One column that 400 rows share has 160,000 terms; all went through an exchange."""
+    spark.range(400).select(F.col("id").alias("row"), F.lit(0).cast("long").alias("col"), F.lit(1.0).alias("val")).repartition(7).write.parquet(str(tmp_path / "a"))
+    a = Matrix(spark.read.parquet(str(tmp_path / "a")), 400, 1, coalesced=True)
+    b = Matrix(a.df.select("row", (F.col("row") % 2).alias("col"), "val"), 400, 2, coalesced=True)
+    blocks.TERMS = 40_000
+    c = a @ a.T
+    assert shuffled_rows(spark, lambda: c.df.write.format("noop").mode("overwrite").save()) < 20_000
+    assert c.df.count() == 160_000
+    left, _ = b.matmul_vjp(b.T, b.gram().map(lambda v: F.lit(1.0)), needs=(True, False))
+    assert left.agg(F.sum("v")).first()[0] == 2 * 200 * 200
