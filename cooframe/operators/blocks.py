@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut
 from ..kernels.products import multiply, multiply_at
 from ..matrix import Matrix
+from ..sizes import read_bytes
 
 #: Tables of fewer bytes are joined instead: one plan, no job beforehand.
 LARGE = 16 << 20
@@ -22,13 +23,6 @@ LARGE = 16 << 20
 TERMS, RANGES = 1 << 23, 4096
 
 
-def read_bytes(df: DataFrame) -> int:
-    """Bytes of the tables that ``df`` reads; rows that came from the driver count for nothing."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
-    return sum(s for s in sizes if s < 1 << 62)
-
-
 def fit(*factors: Matrix) -> bool:
     """Whether a product is one for blocks: of single matrices of doubles, from large tables."""
     return all(not m.keys and m.dtype == "double" for m in factors) and max(read_bytes(m.df) for m in factors) >= LARGE

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cooframe import Matrix
+from cooframe import Matrix, sizes
 from cooframe.kernels import products as kernel
 from cooframe.operators import blocks, partition
 
@@ -108,3 +108,36 @@ def test_terms_of_large_products_stay_in_their_task(spark, tmp_path, by_blocks):
     assert c.df.count() == 160_000
     left, _ = b.matmul_vjp(b.T, b.gram().map(lambda v: F.lit(1.0)), needs=(True, False))
     assert left.agg(F.sum("v")).first()[0] == 2 * 200 * 200
+
+
+def planned(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_values_of_one_matrix_meet_without_a_join(spark):
+    df = spark.createDataFrame([(0, 0, 1.0), (0, 1, -2.0), (1, 1, 3.0), (1, 1, 4.0)], "row long, col long, val double")
+    a = Matrix(df, 2, 2).coalesce()
+    for got, want in (
+        (a.sign() + a.abs(), {(0, 0): 2.0, (0, 1): 1.0, (1, 1): 8.0}),
+        ((a > 0.0).logical_and(a < 5.0).cast("int") + (a * 2.0).cast("int"), {(0, 0): 3, (0, 1): -4, (1, 1): 14}),
+        (a + a * 1j, {(0, 0): (1.0, 1.0), (0, 1): (-2.0, -2.0), (1, 1): (7.0, 7.0)}),
+    ):
+        assert "Join" not in planned(got.df)
+        assert {(r.row, r.col): tuple(r.val) if isinstance(r.val, tuple) else r.val for r in got.df.collect()} == want
+    out = a
+    for _ in range(24):
+        out = out.relu() + out  # a value that two steps take is worked out once
+    assert len(planned(out.df)) < 50_000 and out.df.where("row = 0 and col = 0").first().val == 2.0**24
+    raw = Matrix(df, 2, 2)
+    assert sorted(tuple(r) for r in (raw.abs() + raw).df.collect()) == [(0, 0, 2.0), (0, 1, 0.0), (1, 1, 14.0)]
+
+
+def test_large_tables_are_spread_before_they_are_grouped(spark, tmp_path, monkeypatch):
+    """Adding up before the exchange filled tasks that read large files; parts now follow the bytes."""
+    spark.range(30_000).select(F.col("id").alias("r"), (F.col("id") % 7).alias("c"), F.lit(1.0).alias("v")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(sizes, "SMALL", 1000)
+    monkeypatch.setattr(sizes, "SHARE", sizes.read_bytes(t) // 9)
+    a = Matrix.of(t, "r", "c", "v", 30_000, 7)
+    assert a.df.rdd.getNumPartitions() == 10 and a.df.count() == 30_000
+    assert Matrix(a.df, 30_000, 7).coalesce().df.agg(F.sum("val")).first()[0] == 30_000
