@@ -7,8 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import new_path
 from ..functions import complexes as C
 from ..matrix import Matrix
+from ..operators.blocks import settled
+from ..sizes import parts
 
 FIELDS = ("real", "complex", "integer", "pattern", "double")
 SYMMETRIES = ("general", "symmetric", "skew-symmetric", "hermitian")
@@ -66,16 +69,41 @@ def read(spark: SparkSession, path: str, check: bool = True) -> Matrix:
 
 
 def write(a: Matrix, path: str, comment: str = "", symmetry: str = "general") -> None:
-    """One file in a folder at ``path``; of a symmetric matrix the lower triangle only."""
+    """One file in a folder at ``path``, in the order of rows and columns; of a symmetric matrix the lower triangle only.
+
+    Ranges of places are sorted and written by a task each; the driver then
+    strings their files together, a buffer at a time.
+    """
     if symmetry not in SYMMETRIES:
         raise ValueError(f"no symmetry {symmetry!r}")
-    own = a.coalesce().df
+    own = settled(a).df
     if symmetry != "general":
         own = own.where("row > col" if symmetry == "skew-symmetric" else "row >= col")
     field = "complex" if a.is_complex else "real"
     values = [F.col("val.re").cast("string"), F.col("val.im").cast("string")] if a.is_complex else [F.col("val").cast("double").cast("string")]
     line = F.concat_ws(" ", (F.col("row") + 1).cast("string"), (F.col("col") + 1).cast("string"), *values)
     head = [f"%%MatrixMarket matrix coordinate {field} {symmetry}", *(f"% {x}" for x in comment.splitlines()), f"{a.m} {a.n} {own.count()}"]
-    lines = a.spark.createDataFrame([(k - len(head), -1, x) for k, x in enumerate(head)], "row long, col long, value string")
-    body = own.select("row", "col", line.alias("value"))
-    lines.union(body).repartition(1).sortWithinPartitions("row", "col").select("value").write.text(path)  # the format is one file
+    body = own.select("row", "col", line.alias("value")).repartitionByRange(parts(own) or 1, "row", "col").sortWithinPartitions("row", "col").select("value")
+    jvm = a.spark._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(a.spark._jsc.hadoopConfiguration())
+    if fs.exists(to):
+        raise FileExistsError(path)
+    pieces = jvm.org.apache.hadoop.fs.Path(new_path(a.spark, "lines"))
+    body.write.text(pieces.toString())
+    try:
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(to, "part-00000.txt"))
+        try:
+            out.write("".join(x + "\n" for x in head).encode())
+            source = pieces.getFileSystem(a.spark._jsc.hadoopConfiguration())
+            files = [f.getPath() for f in source.listStatus(pieces) if f.getPath().getName().startswith("part-")]
+            for f in sorted(files, key=lambda f: int(f.getName().split("-")[1])):
+                piece = source.open(f)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(piece, out, 1 << 20, False)
+                finally:
+                    piece.close()
+        finally:
+            out.close()
+    finally:
+        pieces.getFileSystem(a.spark._jsc.hadoopConfiguration()).delete(pieces, True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cooframe import Matrix, sizes
 from cooframe.kernels import products as kernel
 from cooframe.operators import blocks, partition
+from cooframe.sources import mtx
 
 
 def shuffled_rows(spark, run) -> int:
@@ -141,3 +142,43 @@ def test_large_tables_are_spread_before_they_are_grouped(spark, tmp_path, monkey
     a = Matrix.of(t, "r", "c", "v", 30_000, 7)
     assert a.df.rdd.getNumPartitions() == 10 and a.df.count() == 30_000
     assert Matrix(a.df, 30_000, 7).coalesce().df.agg(F.sum("val")).first()[0] == 30_000
+
+
+def busiest(spark, run) -> float:
+    """Rows that a task of the stages of ``run`` takes from exchanges, at most, evenly shared in its stage."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleReadRecords() / max(1, s.numTasks()) for s in map(found.apply, range(found.size()))}
+
+    before = stages()
+    run()
+    return max(n for k, n in stages().items() if k not in before)
+
+
+@pytest.fixture
+def tall(spark, tmp_path, monkeypatch):
+    """30,000 entries read from a table that counts as large, of ten shares."""
+    places = spark.range(30_000).select((F.col("id") * 7919 % 30_000).alias("row"), (F.col("id") % 7).alias("col"), (F.col("id") / 8).alias("val"))
+    places.write.parquet(str(tmp_path / "tall"))
+    df = spark.read.parquet(str(tmp_path / "tall"))
+    monkeypatch.setattr(sizes, "SMALL", 1000)
+    monkeypatch.setattr(sizes, "SHARE", sizes.read_bytes(df) // 10)
+    return Matrix(df, 30_000, 7, coalesced=True)
+
+
+def test_matrix_market_is_sorted_by_ranges(spark, tmp_path, tall):
+    """One task sorted and wrote all lines; there is still one file, in order."""
+    path = tmp_path / "out"
+    assert busiest(spark, lambda: mtx.write(tall, str(path), "two\nlines")) < 10_000
+    (file,) = [f for f in path.iterdir() if not f.name.startswith((".", "_"))]
+    lines = file.read_text().splitlines()
+    assert lines[:4] == ["%%MatrixMarket matrix coordinate real general", "% two", "% lines", "30000 7 30000"]
+    places = [tuple(map(int, x.split()[:2])) for x in lines[4:]]
+    assert len(places) == 30_000 and places == sorted(places)
+    back = mtx.read(spark, str(path)).df
+    assert back.exceptAll(tall.df).isEmpty() and back.count() == 30_000
+    with pytest.raises(FileExistsError):
+        mtx.write(tall, str(path))
