@@ -7,14 +7,20 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sizes
 from ..matrix import Matrix
 
 
 def write(a: Matrix, path: str, metadata: dict | None = None, parts: DataFrame | None = None) -> None:
-    """``parts`` (node, part_id) lays entries out by the part of their row; the full shape is kept."""
+    """``parts`` (node, part_id) lays entries out by the part of their row; the full shape is kept.
+
+    A part of a large matrix is written by as many tasks as its size asks for, a range of rows each.
+    """
     df = a.df
     if parts is not None:
-        df = df.join(parts.select(F.col("node").alias("row"), "part_id"), "row").repartition("part_id")
+        n = sizes.parts(df)
+        df = df.join(parts.select(F.col("node").alias("row"), "part_id"), "row")
+        df = df.repartition("part_id") if n is None else df.repartitionByRange(n, "part_id", "row")
         df.write.partitionBy("part_id").parquet(f"{path}/entries")
         parts.write.parquet(f"{path}/parts")
     else:
@@ -39,8 +45,8 @@ def read(spark: SparkSession, path: str, part: int | None = None) -> Matrix:
     df = spark.read.parquet(f"{path}/entries")
     if meta["parted"]:
         df = (df.where(F.col("part_id") == part) if part is not None else df).drop("part_id")
-    sizes = spark.read.parquet(f"{path}/sizes") if "matrix_id" in meta["keys"] else None
-    return Matrix(df, meta["m"], meta["n"], meta["keys"], sizes, meta["batch"], meta["block"], meta["coalesced"])
+    shapes = spark.read.parquet(f"{path}/sizes") if "matrix_id" in meta["keys"] else None
+    return Matrix(df, meta["m"], meta["n"], meta["keys"], shapes, meta["batch"], meta["block"], meta["coalesced"])
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cooframe import Matrix, sizes
 from cooframe.kernels import products as kernel
 from cooframe.operators import blocks, partition
-from cooframe.sources import mtx
+from cooframe.sources import mtx, store
 
 
 def shuffled_rows(spark, run) -> int:
@@ -182,3 +182,13 @@ def test_matrix_market_is_sorted_by_ranges(spark, tmp_path, tall):
     assert back.exceptAll(tall.df).isEmpty() and back.count() == 30_000
     with pytest.raises(FileExistsError):
         mtx.write(tall, str(path))
+
+
+def test_parts_of_a_large_matrix_are_written_by_several_tasks(spark, tmp_path, tall):
+    """Two parts were two tasks, however large the matrix."""
+    store.write(tall, str(tmp_path / "out"), parts=tall.resolve_partition(2))
+    files = [f for f in (tmp_path / "out" / "entries").rglob("*.parquet")]
+    rows = [spark.read.parquet(str(f)).count() for f in files]
+    assert len(files) >= 10 and max(rows) < 6_000 and sum(rows) == 30_000
+    one = store.read(spark, str(tmp_path / "out"), part=1)
+    assert one.shape == (30_000, 7) and one.df.exceptAll(tall.df.where("row >= 15000")).isEmpty() and one.df.count() == 15_000
