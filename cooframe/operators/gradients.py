@@ -7,14 +7,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import Matrix, bind
+from ..sizes import spread
 from . import blocks
 from .direct import gathered, solve
-from .products import matmul_at
+from .products import BROADCAST_ROWS, _sized, matmul_at
 
 
 def at_pattern(a: Matrix, left: DataFrame, right: DataFrame, sign: float = 1.0) -> DataFrame:
-    """``[keys,] row, col, v`` = sign * sum over k of left[row, k] * right[col, k], at A's places only."""
+    """``[keys,] row, col, v`` = sign * sum over k of left[row, k] * right[col, k], at A's places only.
+
+    Where there is one vector a side each place has one term, so places are not
+    grouped again; values that a vector repeats for a place are added up first.
+    """
     many = ["k"] if "k" in left.columns else []
+    if not many and not a.keys:
+        one = lambda v, name, to, n: _sized(v.groupBy(F.col("i").alias(name)).agg(F.sum("v").alias(to)), n)
+        both = a.coalesce().df.select("row", "col").join(one(left, "row", "_x", a.m), "row")
+        both = (both if a.n <= BROADCAST_ROWS else spread(both, "col")).join(one(right, "col", "_y", a.n), "col")
+        return both.select("row", "col", (sign * (F.col("_x") * F.col("_y"))).alias("v"))
     x = left.select(*a.keys, F.col("i").alias("row"), *many, F.col("v").alias("_x"))
     y = right.select(*a.keys, F.col("i").alias("col"), *many, F.col("v").alias("_y"))
     both = a.coalesce().df.select(*a.keys, "row", "col").join(x, [*a.keys, "row"]).join(y, [*a.keys, "col", *many])

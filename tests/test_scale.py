@@ -192,3 +192,13 @@ def test_parts_of_a_large_matrix_are_written_by_several_tasks(spark, tmp_path, t
     assert len(files) >= 10 and max(rows) < 6_000 and sum(rows) == 30_000
     one = store.read(spark, str(tmp_path / "out"), part=1)
     assert one.shape == (30_000, 7) and one.df.exceptAll(tall.df.where("row >= 15000")).isEmpty() and one.df.count() == 15_000
+
+
+def test_one_vector_a_side_needs_no_grouping_of_places(spark):
+    """Each place has one term; values that a vector repeats add up as before."""
+    a = Matrix.from_dense(spark, np.array([[1.0, 2.0], [0.0, 3.0]]))
+    x = spark.createDataFrame([(0, 5.0), (1, 7.0), (1, 1.0)], "i long, v double")
+    g = spark.createDataFrame([(0, 2.0), (1, 3.0)], "i long, v double")
+    got = a.matvec_vjp(x, g)[0]
+    assert got._jdf.queryExecution().optimizedPlan().nodeName() != "Aggregate"
+    assert {(r.row, r.col): r.v for r in got.collect()} == {(0, 0): 10.0, (0, 1): 16.0, (1, 1): 24.0}
