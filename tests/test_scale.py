@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cooframe import Matrix, sizes
+from cooframe.kernels import components
 from cooframe.kernels import products as kernel
-from cooframe.operators import blocks, partition
+from cooframe.operators import blocks, graph, partition
 from cooframe.sources import mtx, store
 
 
@@ -202,3 +203,61 @@ def test_one_vector_a_side_needs_no_grouping_of_places(spark):
     got = a.matvec_vjp(x, g)[0]
     assert got._jdf.queryExecution().optimizedPlan().nodeName() != "Aggregate"
     assert {(r.row, r.col): r.v for r in got.collect()} == {(0, 0): 10.0, (0, 1): 16.0, (1, 1): 24.0}
+
+
+def least_reached(n, edges):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("held", [1 << 21, 64, 8])
+def test_components_by_tasks_then_roots(spark, monkeypatch, held):
+    """Settled in one task, by contraction again, or by rounds, as few edges as a task may hold."""
+    monkeypatch.setattr(components, "EDGES", held)
+    rng = np.random.default_rng(held)
+    edges = np.concatenate([rng.integers(0, 300, (180, 2)), [[300 + i, 301 + i] for i in rng.permutation(99)], [[400, 400 + i] for i in range(90)]]).tolist()
+    df = spark.createDataFrame([(a, b) for a, b in edges], "row long, col long").repartition(5)
+    nodes = spark.range(500).select(F.col("id").alias("i"))
+    got = {r.node: r.root for r in graph.component_roots(df, nodes).collect()}
+    assert got == dict(enumerate(least_reached(500, edges)))
+
+
+@pytest.mark.parametrize("held", [2, 10, 1000])
+def test_kernel_joins_a_stream_of_edges(monkeypatch, held):
+    monkeypatch.setattr(components, "EDGES", held)
+    rng = np.random.default_rng(held)
+    edges = rng.integers(0, 80, (60, 2))
+    tied = [pair for a, b in components.joined((e[:, 0], e[:, 1]) for e in np.array_split(edges, 12)) for pair in zip(a.tolist(), b.tolist())]
+    assert {a for a, _ in tied} == set(edges.ravel().tolist()) and all(b <= a for a, b in tied)
+    assert least_reached(80, tied) == least_reached(80, edges.tolist())
+    node, root = components.stars(edges[:, 0], edges[:, 1])
+    assert dict(zip(node.tolist(), root.tolist())) == {i: least_reached(80, edges.tolist())[i] for i in set(edges.ravel().tolist())}
+
+
+def test_a_component_is_joined_where_its_ties_are_read(spark, tmp_path):
+    """Every round sent each tie across the network, and all nodes of a component to one task."""
+    spark.range(30_000).select(F.col("id").alias("row"), (F.col("id") % 40 + 30_000).alias("col"), F.lit(1.0).alias("val")).repartition(3).write.parquet(str(tmp_path / "t"))
+    a = Matrix(spark.read.parquet(str(tmp_path / "t")), 30_040, 30_040)
+    got = []
+    assert shuffled_rows(spark, lambda: got.extend(a.connected_components().collect())) < 120_000
+    assert {r.i: r.label for r in got} == {i: (i if i < 30_000 else i - 30_000) % 40 for i in range(30_040)}
+
+
+def test_nodes_of_a_component_are_numbered_in_stretches(spark, monkeypatch):
+    """One window held a whole component."""
+    monkeypatch.setattr(graph, "STRETCH", 4)
+    a = Matrix.from_arrays(spark, [1.0] * 20, list(range(0, 40, 2)), [(i + 4) % 40 for i in range(0, 40, 2)], (40, 40))
+    split = a.to_connected_components()
+    assert {r.matrix_id: r.m for r in split.sizes.collect()} == {k: 10 if k in (0, 2) else 1 for k in range(22)}
+    want = sorted((i // 4, ((i + 4) % 40) // 4) for i in range(0, 40, 4))
+    first = sorted((r.row, r.col) for r in split.df.where("matrix_id = 0").collect())
+    assert first == want
